@@ -75,13 +75,12 @@ class Cuckoo:
         part = self.parts[-1]
         mark, at, _ = self._places(part, keys)
         rng = np.random.default_rng(len(keys))
+        mark, at = self._put(part, mark, at)
+        at = self._other(at, mark, len(part))
         for _ in range(self.KICKS):
-            for turn in (0, 1):
-                if turn:
-                    at = self._other(at, mark, len(part))
-                mark, at = self._put(part, mark, at)
-                if not len(mark):
-                    return
+            mark, at = self._put(part, mark, at)
+            if not len(mark):
+                return
             # those left evict a random slot each, one to a bucket
             _, first = np.unique(at, return_index=True)
             slot = rng.integers(0, self.SLOTS, len(first))
