@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, quality, secrets, urls
+from . import langid, linededup, lzprint, mixing, quality, secrets, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
+def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op4(table(spark, sf_dir, "documents"))
 
