@@ -115,3 +115,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+_BYTES = byte_table(29)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of bytes that make words: all but ASCII blanks; and letters, digits and bytes over 127 only.
+UNBLANK = np.ones(256, bool)
+UNBLANK[[9, 10, 11, 12, 13, 32]] = False
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a block of rows, A-Z lower-cased, and where each row's words begin (one more at the end)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    word = mask[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    rows = offsets[:-1][offsets[:-1] < len(data)]
+    first[rows] = word[rows]
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    at = np.arange(len(data)) - begin[np.maximum(np.cumsum(first) - 1, 0)]
+    at[~word] = 0
+    up = np.full(int(at.max()) + 1, _BASE)
+    up[0] = 1
+    value = _BYTES[np.where((data >= 65) & (data <= 90), data + 32, data)] * np.cumprod(up, dtype=np.uint64)[at]
+    value[~word] = 0
+    return mix64(np.add.reduceat(value, begin)), np.searchsorted(begin, offsets, side="left")
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words that begin at each word (fewer at the end: the array is n - 1 shorter)."""
+    size = len(words) - n + 1
+    if size <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(size, np.uint64)
+    for k in range(n):
+        out = out * _BASE + words[k : k + size]
+    return mix64(out)

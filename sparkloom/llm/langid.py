@@ -38,9 +38,16 @@ def gram_buckets(data: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` labelled rows, those of the smallest hash of text and label: the same for the same table."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 0))
-    return known.select("text", "lang", F.xxhash64("text", "lang").alias("h")).orderBy("h", "lang", "text").limit(rows).select("text", "lang")
+    """At most `rows` labelled rows, those of the smallest hash of their id: the same for the same table.
+
+    Rows are first thinned by their hash to little more than `rows` of all, so that no task sends more than its share.
+    """
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    known = docs.where(F.col("lang").isNotNull() & (F.crc32(number) % 5 != 0)).withColumn("h", F.xxhash64(F.lit("language"), number))
+    every = known.select("h").count()
+    share = min(1.0, (1.2 * rows + 100) / max(1, every))
+    thin = known.where((F.col("h").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))) & F.col("text").isNotNull())
+    return thin.select("text", "lang", "h").orderBy("h", "lang", "text").limit(rows).select("text", "lang")
 
 
 class Model:

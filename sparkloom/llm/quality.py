@@ -163,7 +163,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     A document with several labels takes part with each; rows with a null id, text or label don't.
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    picked = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "quality").limit(rows)
+    known = known.withColumn("h", F.xxhash64(F.lit("quality"), "doc_id"))
+    share = min(1.0, (1.2 * rows + 100) / max(1, known.count()))  # thinned first, so that no task sends more than its share
+    picked = known.where(F.col("h").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))).orderBy("h", "doc_id", "quality").limit(rows).drop("h")
     # bounded by `rows`: the picked ids are broadcast, so that no text is shuffled
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
 
