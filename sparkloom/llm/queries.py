@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, lzprint, mixing, quality, secrets, urls
+from . import decontaminate, langid, linededup, lzprint, mixing, ngramjoin, quality, secrets, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,4 +54,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.OP4_SQL}
+    return {"op4_line_dedup": linededup.OP4_SQL, "op6_ngram_join": ngramjoin.OP6_SQL}
