@@ -80,7 +80,7 @@ def mix(
     weights: dict[str, float] | None = None,
     alpha: float = 0.5,
     block_rows: int = 64,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 2_000,
     period: int = 1000,
 ) -> DataFrame:
     """df with block, slot and position columns, in which sorting by position gives the mixture.
