@@ -13,18 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, linededup, mixing, ngramjoin, quality
-from sparkloom.llm.common import settled, table
+from sparkloom.llm.common import settled, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that a smaller document holds."""
-    out = linededup.dedup(docs)
+    names = tuple(unused(docs, "n_lines", "n_dropped"))
+    out = linededup.dedup(docs, names=names)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from .common import ALNUM, blocks, gram_hashes, text_bytes, word_hashes
+from .common import ALNUM, blocks, gram_hashes, text_bytes, unused, word_hashes
 
 #: Bytes of test items that are broadcast at a time.
 BLOCK_BYTES = 16 << 20
@@ -109,14 +109,14 @@ def blocks_of(benchmark: DataFrame, most: int):
         yield known.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).orderBy("item_id", "text").collect()
 
 
-def covered(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with `leaks`: an array of (item_id, coverage, words, tiles) for each item of benchmark (item_id, text) that the row
+def covered(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, name: str = "leaks") -> DataFrame:
+    """docs with an array in a column of that name (replacing one that has it), of (item_id, coverage, words, tiles) for each item of benchmark (item_id, text) that the row
     covers to `coverage` or more; all rows and other columns stay.
 
     Words are runs of letters, digits and bytes over 127, A-Z lower-cased. Null and empty texts cover nothing; items of fewer than
     `least` words, null ids and null texts are left out, items that share an id count each. Empty tables give empty arrays.
     """
-    rest = docs.drop("leaks").withColumn("leaks", F.array().cast(ArrayType(HIT)))
+    rest = docs.drop(name).withColumn(name, F.array().cast(ArrayType(HIT)))
     schema, at = rest.schema, rest.columns.index("text")
     for rows in blocks_of(benchmark, block_bytes):
         block = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))  # at most about block_bytes
@@ -147,7 +147,8 @@ def covered(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that no item covers, with the columns of docs."""
-    return covered(docs, benchmark, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    name = unused(docs, "leaks")[0]
+    return covered(docs, benchmark, name=name, **options).where(F.size(name) == 0).select(*docs.columns)
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, settled
+from .common import mix64, settled, unused
 
 #: Fixed values of the key: the blanks that are stripped, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -178,13 +178,14 @@ class LineIndex:
             own: dict[int, Cuckoo] = {}
             for b in batches:
                 shard, turn = (np.asarray(b.column(k)) for k in (0, 1))
-                for i in np.flatnonzero(turn == 0):
-                    own = {int(shard[i]): Cuckoo.load(b.column(2)[int(i)].as_py())}  # sorted: one shard at a time
                 h1 = np.asarray(b.column(3))
                 known = np.zeros(b.num_rows, bool)
-                for s in np.unique(shard[turn == 1]):
+                for s in np.unique(shard):  # sorted: one shard after another, each with its filter first
+                    stored = np.flatnonzero((shard == s) & (turn == 0))
                     mine = np.flatnonzero((shard == s) & (turn == 1))
-                    if int(s) not in own:
+                    if len(stored):
+                        own = {int(s): Cuckoo.load(b.column(2)[int(stored[0])].as_py())}
+                    elif int(s) not in own:
                         own = {int(s): Cuckoo()}
                     fresh = own[int(s)]
                     known[mine] = fresh.has(h1[mine].view(np.uint64))
@@ -274,47 +275,46 @@ def drops(docs: DataFrame, refs: DataFrame, least: int = 10) -> DataFrame:
     return hit.groupBy("did").agg(F.collect_set("line").alias("gone"))  # bounded by the lines of one document id
 
 
-def dedup(docs: DataFrame, least: int = 10, refs: DataFrame | None = None) -> DataFrame:
-    """docs with text deduplicated by line, and _n_lines and _n_dropped in columns of these names; all rows and other columns stay.
+def dedup(docs: DataFrame, least: int = 10, refs: DataFrame | None = None, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text deduplicated by line, and the number of its lines and of those dropped in columns of these names (replacing
+    columns that have them); all rows and other columns stay.
 
     refs: the reference counts of an index that holds docs; by default those of docs, inserted into an empty index.
     Null and empty texts are one empty line, and keep their text. Rows that share an id are one document (a null id too: one
     document after all others); each loses the lines that a smaller document holds. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     if refs is None:
-        index = LineIndex.empty(spark, shards_for(spark), least)
+        index = LineIndex.empty(docs.sparkSession, shards_for(docs.sparkSession), least)
         refs = index.admitted(index.counted(docs))
-    rest = docs.drop("_n_lines", "_n_dropped", "_did", "_gone")
-    both = rest.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(
-        drops(docs, refs, least).withColumnsRenamed({"did": "_did", "gone": "_gone"}), "_did", "left"
-    ).select(*rest.columns, "_gone")
+    rest = docs.drop(*names)
+    did, gone = unused(rest, "did", "gone")
+    lost = drops(docs, refs, least).withColumnsRenamed({"did": did, "gone": gone})
+    both = rest.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(lost, did, "left").select(*rest.columns, gone)
     at = rest.columns.index("text")
 
     def run(batches):
         for b in batches:
-            out, total, lost = [], [], []
-            for text, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            out, total, fewer = [], [], []
+            for text, numbers in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 total.append(len(lines))
-                if gone:
-                    gone = {g for g in gone if g < len(lines)}
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-                lost.append(len(gone or ()))
-                out.append(text)
+                # rows that share an id share the list: its numbers count where the line is one that goes
+                kept = [x for i, x in enumerate(lines) if i not in numbers] if (numbers := set(numbers or ())) else lines
+                fewer.append(len(lines) - len(kept))
+                out.append("\n".join(kept) if numbers else text)
             columns = [*b.columns[:-1]]
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*b.schema.names[:-1], "_n_lines", "_n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(fewer, pa.int64())], [*b.schema.names[:-1], *names])
 
     from pyspark.sql.types import LongType, StructType
 
-    return both.mapInArrow(run, StructType([*rest.schema.fields]).add("_n_lines", LongType()).add("_n_dropped", LongType()))
+    return both.mapInArrow(run, StructType([*rest.schema.fields]).add(names[0], LongType()).add(names[1], LongType()))
 
 
 def op4(docs: DataFrame) -> DataFrame:
     """The digest of `dedup` over all documents."""
     out = dedup(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""

@@ -17,6 +17,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: A null source is a source of its own under this name.
 NULL_SOURCE = "\x00null"
 
@@ -93,13 +95,14 @@ def mix(
     mix_slot * block_rows + place in the block. Null sources are one source; null or repeated keys are placed like others,
     rows equal in all of (source, key) in arbitrary order. An empty table gives an empty result.
     """
-    made = ("_src", "_bucket", "_place", "_start", "mix_block", "mix_slot", "mix_position")
+    made = ("mix_block", "mix_slot", "mix_position")
     df = df.drop(*made)
+    s_, b_, p_, o_ = unused(df, "src", "bucket", "place", "start")
     spark = df.sparkSession
     src = F.coalesce(F.col(source).cast("string"), F.lit(NULL_SOURCE))
     totals = {r[0]: r[1] for r in df.groupBy(src.alias("s")).count().collect()}  # a row for each source
     if not totals:
-        return df.withColumns({k: F.lit(0).cast("long") for k in made[4:]})
+        return df.withColumns({k: F.lit(0).cast("long") for k in made})
     if weights is None:
         weights = {k: float(n) ** alpha for k, n in totals.items()}
     missing = sorted(set(totals) - set(weights))
@@ -109,23 +112,23 @@ def mix(
         raise ValueError("weights must be above 0")
     buckets = max(1, -(-max(totals.values()) // bucket_rows))
     mixed = F.xxhash64(F.lit("mix"), F.col(key))
-    dealt = df.withColumns({"_src": src, "_bucket": F.pmod(mixed, F.lit(buckets))})
-    sizes = dealt.groupBy("_src", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    dealt = df.withColumns({s_: src, b_: F.pmod(mixed, F.lit(buckets))})
+    sizes = dealt.groupBy(s_, b_).agg(F.count(F.lit(1)).alias("n"))
     # a row for each source and bucket; the running sum goes over at most `buckets` rows of a source
-    starts = sizes.select("_src", "_bucket", (F.sum("n").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("n")).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy(mixed, F.col(key))) - 1
-    placed = dealt.withColumn("_place", place).join(starts, ["_src", "_bucket"])
-    placed = placed.withColumn("_place", F.col("_start") + F.col("_place"))
-    placed = placed.withColumn("mix_block", F.floor(F.col("_place") / block_rows).cast("long"))
+    starts = sizes.select(s_, b_, (F.sum("n").over(Window.partitionBy(s_).orderBy(b_)) - F.col("n")).alias(o_))
+    place = F.row_number().over(Window.partitionBy(s_, b_).orderBy(mixed, F.col(key))) - 1
+    placed = dealt.withColumn(p_, place).join(starts, [s_, b_])
+    placed = placed.withColumn(p_, F.col(o_) + F.col(p_))
+    placed = placed.withColumn("mix_block", F.floor(F.col(p_) / block_rows).cast("long"))
 
     plan = phases({k: -(-n // block_rows) for k, n in totals.items()}, weights, period)
     rows = [(k, p["start"], p["period"], lo, hi, len(slots), i, s) for p in plan for k, (lo, hi, slots) in p["sources"].items() if hi > lo for i, s in enumerate(slots) if lo + i < hi]
-    table = spark.createDataFrame(rows, "_src string, start long, period long, lo long, hi long, parts long, i long, s long")
+    table = spark.createDataFrame(rows, "src string, start long, period long, lo long, hi long, parts long, i long, s long")
     # all blocks of the sources: rows / block_rows of them
     steps = F.explode(F.sequence(F.col("lo") + F.col("i"), F.col("hi") - 1, F.col("parts")))
-    slots = table.select("_src", steps.alias("mix_block"), "start", "period", "lo", "parts", "s").select(
-        "_src", "mix_block", (F.col("start") + F.floor((F.col("mix_block") - F.col("lo")) / F.col("parts")) * F.col("period") + F.col("s")).cast("long").alias("mix_slot")
+    slots = table.select("src", steps.alias("mix_block"), "start", "period", "lo", "parts", "s").select(
+        F.col("src").alias(s_), "mix_block", (F.col("start") + F.floor((F.col("mix_block") - F.col("lo")) / F.col("parts")) * F.col("period") + F.col("s")).cast("long").alias("mix_slot")
     )
-    out = placed.join(slots, ["_src", "mix_block"])
-    out = out.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_place") % block_rows)
-    return out.select(*df.columns, *made[4:])
+    out = placed.join(slots, [s_, "mix_block"])
+    out = out.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(p_) % block_rows)
+    return out.select(*df.columns, *made)

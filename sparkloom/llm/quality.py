@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_table, mix64, text_bytes
+from .common import blocks, byte_table, mix64, text_bytes, unused
 
 #: Classes of bytes: 0 blank, 1 lower-case and bytes over 127, 2 upper-case, 3 digit, 4 and more: each mark a class of its own.
 CLASS = np.arange(256) + 4
@@ -176,12 +176,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, **options) -> Mode
     return train([r.text for r in got], [int(r.quality) for r in got], **options)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs with score (the probability of label 1) and predicted (1 if score >= threshold, else 0), in columns of those names.
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with the probability of label 1, and 1 if that reaches the threshold, else 0, in columns of these names (replacing
+    columns that have them).
 
     Only the text is read; null and empty texts get the prior of label 1. All other columns and all rows stay as they are.
     """
-    rest = docs.drop("score", "predicted")
+    rest = docs.drop(*names)
     m_ = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 ** bits vectors
     at = rest.columns.index("text")
 
@@ -192,11 +193,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             p = np.zeros(b.num_rows)
             for i, j in blocks(offsets):
                 p[i:j] = m.probability(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*b.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return rest.mapInArrow(run, StructType([*rest.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType()))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with the columns of docs."""
+    names = tuple(unused(docs, "score", "predicted"))
+    return score(docs, model, threshold, names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def op9(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> DataFrame:

@@ -64,7 +64,7 @@ def let(value: Column, body) -> Column:
 def best_window(s: Column) -> Column:
     """The highest entropy of a window of WINDOW characters of s (ASCII), in bits a character; 0 for shorter strings."""
     f = F.array(*(F.lit(x) for x in F_OF))
-    chars = F.transform(F.split(s, "(?!^)"), F.ascii)
+    chars = F.transform(F.split(s, "(?!^)(?!$)"), F.ascii)
 
     def slid(codes):
         first = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(WINDOW * math.log2(WINDOW)).alias("least"), F.lit(0).alias("i"))

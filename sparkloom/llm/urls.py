@@ -3,7 +3,7 @@
 Each host has a tree of path segments. Segments that vary (those with digits, and the rare ones of a node with many children)
 are generalised into wildcards, level by level. Labelled pages give each template its share of blocked pages; sibling
 branches whose shares don't differ significantly are merged. A template is rejected if its share, smoothed towards the prior,
-reaches the threshold. Everything is counted by template before it is shuffled, so a host with a third of all pages costs one row
+exceeds the threshold (which the prior alone never does). Everything is counted by template before it is shuffled, so a host with a third of all pages costs one row
 for each template and task.
 """
 
@@ -92,7 +92,7 @@ def judged(known: DataFrame, pull: float = 4.0, prior: float | None = None, z: f
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.5, **options) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for each page (page_id, url).
 
-    The verdict is the longest fitting rule's; without one, block if the page's template reaches the threshold, else allow. The
+    The verdict is the longest fitting rule's; without one, block if the page's template exceeds the threshold, else allow. The
     rules' verdicts are the labels. Null, empty and broken urls have empty host and path and go by their template like others;
     repeated rows and null ids each keep their row. An empty table gives an empty result.
     """
@@ -104,5 +104,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
     placed = templates(counts)
     found = placed.select("host", "shape", "template").join(judged(placed, **options), ["host", "template"]).select("host", "shape", F.array_join("branch", "/").alias("template"), "purity")
     both = ruled.join(found, ["host", "shape"])
-    method = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
+    method = F.when(F.col("purity") > threshold, "block").otherwise("allow")
     return both.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(verdict, method).alias("verdict"), "template", "purity")
