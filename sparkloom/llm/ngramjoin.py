@@ -9,8 +9,8 @@ holding nothing. The classes that share a key make candidate groups, by connecte
 
 Within a group, classes are dealt into blocks of bounded size. Each block's tree has nodes of the OR and AND of token bitmaps, the
 sizes' range, and the classes' components; a dual traversal of two trees goes only where the greatest possible overlap suffices
-and the components aren't one already, and the pairs that are left are compared exactly. Links are given as a spanning forest:
-equal components, and never all pairs of a group. Groups of several blocks take three steps: each block with itself; the components
+and the components aren't one already, and the pairs that are left are compared exactly. What links connect is given by the
+least member, and never as all pairs of a group. Groups of several blocks take three steps: each block with itself; the components
 that this gives, by their representatives; and last those classes outside their group's largest component with every block.
 """
 
@@ -180,23 +180,28 @@ def link(one: Tree, two: Tree, sets: list[np.ndarray], forest: Forest, percent:
 
 
 def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Spanning links (a, b, with a >= b) found in each task's rows (task long, side int, doc_id long, cls long, text).
+    """What the links within each task's rows (task long, side int, doc_id long, cls long, text) connect: (a, b), with b the least class
+    that links connect class a with, b < a.
 
     Rows of side 1 are compared with those of side 0, or, if a task has none, those of side 0 with each other. Rows of one cls count
     as linked.
     """
 
     def solve(part: pa.Table) -> list[tuple[int, int]]:
-        ids, cls, side = (np.asarray(part.column(k)) for k in ("doc_id", "cls", "side"))
+        cls, side = (np.asarray(part.column(k)) for k in ("cls", "side"))
         data, offsets = text_bytes(part.column("text"))
         sets = [s for i, j in blocks(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
         first: dict[int, int] = {}
+        order = np.argsort(cls, kind="stable")  # so that a root has the least class
+        cls, side, sets = cls[order], side[order], [sets[k] for k in order]
         forest = Forest(np.array([first.setdefault(int(c), k) for k, c in enumerate(cls)]))
         most = max(len(s) for s in sets)
         bits = 1 << max(6, int(np.ceil(np.log2(4 * most + 1))))
         one = Tree(np.flatnonzero(side == 0), sets, bits)
         two = Tree(np.flatnonzero(side == 1), sets, bits) if (side == 1).any() else one
-        return [(int(max(ids[a], ids[b])), int(min(ids[a], ids[b]))) for a, b in link(one, two, sets, forest, percent)]
+        for _ in link(one, two, sets, forest, percent):
+            pass
+        return [(c, int(cls[root])) for c, k in first.items() if (root := forest.find(k)) != k]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -242,50 +247,55 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK)
     keys = sets.join(reps, ["doc_id", "n", "h1", "h2"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key", "m")
     groups = components(keys.join(shared, "key").where("doc_id > m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
-    grouped = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp")).union(groups.select(F.col("root").alias("doc_id"), F.col("root").alias("grp")).distinct())
-    counts = grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nblocks"))
-    placed = grouped.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("nblocks")).cast("int"))
-    texts = settled(ids.join(placed, "doc_id").dropDuplicates(["doc_id", "text"]), "candidates")
-
-    task = lambda *c: F.xxhash64(*c)
-    own = texts.select(task("grp", "block").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("cls"), "text")
-    links = settled(linked(own, width, percent), "links")
+    sizes = groups.groupBy("root").agg(F.ceil((F.count(F.lit(1)) + 1) / block).cast("int").alias("nblocks"))
+    grouped = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp")).join(sizes.withColumnRenamed("root", "grp"), "grp")
+    grouped = grouped.select("doc_id", "grp", "nblocks").union(sizes.select("root", "root", "nblocks"))
+    placed = grouped.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("nblocks")).cast("int"))
+    # merged whatever the sizes: the groups grow with the documents
+    texts = settled(ids.hint("merge").join(placed, "doc_id"), "candidates")
+
+    own = texts.select(F.xxhash64("grp", "block").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("cls"), "text")
+    found = settled(linked(own, width, percent), "links")
     wide = texts.where("nblocks > 1")
     if not wide.isEmpty():
-        links = links.union(_across(wide, links, width, percent, block))
+        found = _across(wide, found, width, percent, block)
+    copies = members.select("doc_id", "rep").distinct()
+    roots = copies.join(found, F.col("rep") == F.col("a"), "left").select("doc_id", F.coalesce("b", "rep").alias("root"))
+    several = copies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not several.isEmpty():  # an id with several sets joins their components
+        both = components(roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+        roots = both.select(F.col("node").alias("doc_id"), "root")
+    return every.select("doc_id", F.col("n").alias("n_shingles")).join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
-    found = components(links.union(copies))
-    return every.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
+def _across(texts: DataFrame, inside: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Every class's least one (a, b), from texts (grp, block, nblocks, doc_id, text) of groups of several blocks and what is connected
+    within blocks."""
 
-def _across(texts: DataFrame, links: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Links across the blocks of groups of several blocks, from texts (grp, block, nblocks, doc_id, text) and the links within blocks."""
+    def labelled(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+        near = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        return df.join(near, F.col(column) == F.col("_a"), "left").withColumn("cls", F.coalesce("_b", column)).drop("_a", "_b")
 
-    def labelled(known: DataFrame) -> DataFrame:
-        found = components(known)
-        return texts.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("cls", F.coalesce("root", "doc_id")).drop("node", "root")
-
-    task = lambda *c: F.xxhash64(*c)
     # the representatives of the blocks' components, in blocks again
-    inside = links.join(texts.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
-    heads = labelled(inside).where("doc_id = cls")
-    dealt = heads.withColumn("nheads", F.ceil(F.col("nblocks") / 16).cast("int"))
-    rows = dealt.select(task(F.lit("heads"), "grp", F.pmod(F.xxhash64("doc_id"), F.col("nheads"))).alias("task"), F.lit(0).alias("side"), "doc_id", "cls", "text")
+    once = settled(labelled(texts, "doc_id", inside), "labels")
+    heads = once.where("doc_id = cls").withColumn("nheads", F.ceil(F.col("nblocks") / 16).cast("int"))
+    rows = heads.select(F.xxhash64(F.lit("heads"), "grp", F.pmod(F.xxhash64("doc_id"), F.col("nheads"))).alias("task"), F.lit(0).alias("side"), "doc_id", "cls", "text")
     first = settled(linked(rows, width, percent), "links")
-    known = settled(inside.union(first), "links")
-    now = settled(labelled(known), "labels")
+    now = settled(labelled(once.withColumnRenamed("cls", "was"), "was", first).drop("was"), "labels")
     # all but the largest component of each group meet every block
     sizes = now.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"))
-    both = now.join(largest, "grp")
-    strays = both.where("cls <> top")
-    cut = strays.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nstray"))
-    every = both.join(cut, "grp").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nstray") - 1)))
-    side0 = every.select(task("grp", "block", "k").alias("task"), F.lit(0).alias("side"), "doc_id", "cls", "text")
-    spread = strays.join(cut, "grp").withColumn("k", F.pmod(F.xxhash64(F.lit("stray"), "doc_id"), F.col("nstray")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nblocks") - 1)))
-    side1 = spread.select(task("grp", "to", "k").alias("task"), F.lit(1).alias("side"), "doc_id", "cls", "text")
-    last = settled(linked(side0.union(side1), width, percent), "links")
-    return first.union(last)
+    largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    cut = largest.where("n < all").select("grp", "top", F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("nstray"))
+    both = now.join(cut, "grp")
+    every = both.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nstray") - 1)))
+    side0 = every.select(F.xxhash64("grp", "block", "k").alias("task"), F.lit(0).alias("side"), "doc_id", "cls", "text")
+    strays = both.where("cls <> top").withColumn("k", F.pmod(F.xxhash64(F.lit("stray"), "doc_id"), F.col("nstray")).cast("int"))
+    spread = strays.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nblocks") - 1)))
+    side1 = spread.select(F.xxhash64("grp", "to", "k").alias("task"), F.lit(1).alias("side"), "doc_id", "cls", "text")
+    last = components(linked(side0.union(side1), width, percent)).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    ends = labelled(now.select("doc_id", "cls").distinct().withColumnRenamed("cls", "was"), "was", last).select(F.col("doc_id").alias("a"), F.col("cls").alias("b")).where("a <> b")
+    # groups of one block keep what was found within them
+    return inside.join(texts.select(F.col("doc_id").alias("a")).distinct(), "a", "left_anti").union(ends)
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
