@@ -302,7 +302,7 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """docs without the rows that have a smaller id in their component; rows that share an id stay together, rows with a null id stay."""
     found = join(docs, width, percent)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:

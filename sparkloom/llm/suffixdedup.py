@@ -395,7 +395,7 @@ def by_suffixes(found: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "tie", "at", "upto"])
 
     asked = found.where("kind = 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("name", "at", "upto")).alias("parts"))  # of one document
-    rows = texts.join(asked, ["doc", "tie"]).select("doc", "tie", "size", "z", "parts").mapInArrow(cut, "name long, doc long, tie long, at long, segment binary")
+    rows = texts.hint("merge").join(asked, ["doc", "tie"]).select("doc", "tie", "size", "z", "parts").mapInArrow(cut, "name long, doc long, tie long, at long, segment binary")
     return rows.repartition("name").sortWithinPartitions("name").mapInArrow(sort, "doc long, tie long, at long, upto long")
 
 
@@ -440,7 +440,7 @@ def covered(docs: DataFrame) -> DataFrame:
             spans = pa.array([[{"begin": x, "end": y} for x, y in s] for s, _ in out], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), spans, pa.array([k for _, k in out], pa.binary())], ["doc", "size", "spans", "kept"])
 
-    rows = texts.join(listed, ["doc", "tie"], "left").select("doc", "tie", "size", "z", "parts")
+    rows = texts.hint("merge").join(listed, ["doc", "tie"], "left").select("doc", "tie", "size", "z", "parts")
     rows = rows.mapInArrow(cut, "doc long, size long, spans array<struct<begin:long,end:long>>, kept binary")
     nulls = not docs.where("doc_id is null").select("doc_id").isEmpty()
     number = F.when(F.col("doc") != LAST, F.col("doc")) if nulls else F.col("doc")
