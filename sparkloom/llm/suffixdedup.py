@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import blocks, byte_table, mix64, settled, text_bytes
 
 LENGTH, GRAM = 100, 24
-#: Bytes of text whose runs are combined at a time, and of segments in one suffix array.
-COMBINE, ARRAY = 24 << 20, 1 << 20
+#: Bytes of text whose runs are combined at a time, of segments in one suffix array, and of text that is hashed at a time.
+COMBINE, ARRAY, BLOCK = 12 << 20, 1 << 19, 1 << 18
 #: Names of more different segments than this, or than this share of all runs, are spread. SAMPLE: one document of so many is counted.
 CROWD, CROWD_SHARE, SAMPLE = 20_000, 1e-5, 64
 LAST = (1 << 63) - 1
@@ -273,7 +273,7 @@ def packed_runs(docs: DataFrame, buckets: int, spread=None) -> DataFrame:
         for b in batches:
             doc, tie = (np.asarray(b.column(k)) for k in (0, 1))
             data, offsets = text_bytes(b.column(2))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK):
                 held.append(runs_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], doc[i:j], tie[i:j], spread.value if spread is not None else None))
                 size += int(offsets[j] - offsets[i])
                 if size >= COMBINE:
@@ -321,18 +321,19 @@ def by_name(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
-def crowds(docs: DataFrame, buckets: int) -> np.ndarray:
+def crowds(docs: DataFrame) -> np.ndarray:
     """The names to spread, in order: those whose different segments, counted on a sample of the documents, are over the limit."""
 
     def run(batches):
         for b in batches:
-            runs = [unpack(x) for x in b.column(0).to_pylist()]
-            if runs:
-                runs = np.concatenate(runs)
-                yield pa.RecordBatch.from_arrays([pa.array(runs["name"].view(np.int64)), pa.array(runs["seg"].view(np.int64))], ["name", "seg"])
+            doc, tie = (np.asarray(b.column(k)) for k in (0, 1))
+            data, offsets = text_bytes(b.column(2))
+            for i, j in blocks(offsets, BLOCK):
+                runs = runs_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], doc[i:j], tie[i:j], None)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(runs[k]).view(np.int64)) for k in ("name", "seg")], ["name", "seg"])
 
     sample = docs.where(F.pmod(F.xxhash64(F.lit("crowd"), "doc", "tie"), F.lit(SAMPLE)) == 0)
-    pairs = packed_runs(sample, 1).where("kind = 0").select("blob").mapInArrow(run, "name long, seg long")
+    pairs = sample.select("doc", "tie", "text").mapInArrow(run, "name long, seg long")
     counts = pairs.groupBy("name", "seg").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("all"))
     counts = settled(counts.where("n > 1"), "crowds")
     total = counts.agg(F.sum("all")).first()[0] or 0
@@ -363,14 +364,19 @@ def by_suffixes(found: DataFrame, texts: DataFrame) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            rows = []
-            for doc, tie, size, z, parts in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                text = unzipped(z, size)
-                rows += [(p["name"], doc, tie, p["at"], text[p["at"] : p["upto"]]) for p in parts]
-                if len(rows) > 20_000:
-                    yield _segments(rows)
-                    rows = []
-            yield _segments(rows)
+            doc, tie, size = (np.asarray(b.column(k)) for k in range(3))
+            ends, name, at, upto = listed(b.column(4), "name", "at", "upto")
+            which = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            pieces, text, last = [], b"", -1
+            begin = 0
+            for k, row in enumerate(which):
+                if row != last:
+                    text, last = unzipped(b.column(3)[int(row)].as_py(), int(size[row])), row
+                pieces.append(text[at[k] : upto[k]])
+                if len(pieces) == 10_000 or k + 1 == len(which):
+                    own = slice(begin, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[own], doc[which[own]], tie[which[own]], at[own])] + [pa.array(pieces, pa.binary())], ["name", "doc", "tie", "at", "segment"])
+                    pieces, begin = [], k + 1
 
     def sort(batches):
         held, size, last = [], 0, None
@@ -399,9 +405,11 @@ def by_suffixes(found: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("name").sortWithinPartitions("name").mapInArrow(sort, "doc long, tie long, at long, upto long")
 
 
-def _segments(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["name", "doc", "tie", "at", "segment"])
+def listed(column: pa.Array, *names: str) -> list[np.ndarray]:
+    """Where each row's list begins (one more at the end), and the fields of all its structs, of a column of lists; null lists are empty."""
+    lengths = np.asarray(column.value_lengths().fill_null(0))
+    flat = column.flatten()
+    return [np.concatenate([[0], np.cumsum(lengths)]), *(np.asarray(flat.field(n)) for n in names)]
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -417,30 +425,38 @@ def covered(docs: DataFrame) -> DataFrame:
     repeated = not ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     ids = ids.withColumn("tie", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = spark.sparkContext.broadcast(crowds(ids, buckets))
+    spread = spark.sparkContext.broadcast(crowds(ids))
     found = settled(by_name(packed_runs(ids, buckets, spread)), "runs")
     texts = zipped(ids.select("doc", "tie", "text"))
     ranges = found.where("kind = 1").select("doc", "tie", "at", "upto").union(by_suffixes(found, texts))
-    listed = ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "upto")).alias("parts"))  # of one document
+    parts = ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "upto")).alias("parts"))  # of one document
 
     def cut(batches):
-        for b in batches:
-            out = []
-            for size, z, parts in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                spans = []
-                for lo, hi in sorted((p["at"], p["upto"]) for p in parts or ()):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(hi, spans[-1][1])
-                    else:
-                        spans.append([lo, hi])
-                text = unzipped(z, size)
-                edges = [0, *(x for s in spans for x in s), size]
-                out.append((spans, b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)) if spans else text))
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            spans = pa.array([[{"begin": x, "end": y} for x, y in s] for s, _ in out], kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), spans, pa.array([k for _, k in out], pa.binary())], ["doc", "size", "spans", "kept"])
-
-    rows = texts.hint("merge").join(listed, ["doc", "tie"], "left").select("doc", "tie", "size", "z", "parts")
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                ends, at, upto = listed(b.column(4), "at", "upto")
+                kept, counts, begins, stops = [], [0], [], []
+                for k, (size, z) in enumerate(zip(np.asarray(b.column(2)).tolist(), b.column(3), strict=True)):
+                    lo, hi = at[ends[k] : ends[k + 1]], upto[ends[k] : ends[k + 1]]
+                    text = unzipped(z.as_py(), size)
+                    if len(lo):
+                        order = np.argsort(lo, kind="stable")
+                        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                        first = np.append(True, lo[1:] > hi[:-1])
+                        lo, hi = lo[first], hi[np.append(first[1:], True)]
+                        edges = [0, *np.stack([lo, hi], axis=1).ravel().tolist(), size]
+                        text = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
+                        begins.append(lo)
+                        stops.append(hi)
+                    counts.append(counts[-1] + len(lo))
+                    kept.append(text)
+                none = [np.zeros(0, np.int64)]
+                spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(x or none)) for x in (begins, stops)], ["begin", "end"]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), spans.cast(kind), pa.array(kept, pa.binary())], ["doc", "size", "spans", "kept"])
+
+    rows = texts.hint("merge").join(parts, ["doc", "tie"], "left").select("doc", "tie", "size", "z", "parts")
     rows = rows.mapInArrow(cut, "doc long, size long, spans array<struct<begin:long,end:long>>, kept binary")
     nulls = not docs.where("doc_id is null").select("doc_id").isEmpty()
     number = F.when(F.col("doc") != LAST, F.col("doc")) if nulls else F.col("doc")

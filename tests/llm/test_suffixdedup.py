@@ -66,7 +66,7 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in suffixdedup.op1(docs).collect()) == want
     monkeypatch.setattr(suffixdedup, "CROWD", 3)  # the spread names give the same
     monkeypatch.setattr(suffixdedup, "SAMPLE", 1)
-    assert len(suffixdedup.crowds(docs.selectExpr("doc_id doc", "0L tie", "coalesce(text, '') text"), 4))
+    assert len(suffixdedup.crowds(docs.selectExpr("doc_id doc", "0L tie", "coalesce(text, '') text")))
     assert sorted(tuple(r) for r in suffixdedup.op1(docs).collect()) == want
 
 
