@@ -3,9 +3,10 @@
 A document's set is that of its word shingles. Equal sets are one class. For classes, candidates come first, exactly: two sets of
 Jaccard similarity p % or more, the smaller of a tokens, differ in at most d = floor(a (100 - p) / p) tokens; so if tokens are dealt
 over d + 1 parts by hash, one part at least is the same in both. Sizes are put into ranges, each with the parts that its largest
-size needs; a set gives keys for its own range and for those below that may hold a partner. EXTRA more parts stand in for parts
-that are empty, which give no keys (sets with more empty parts than that give keys for those too), so that sets don't meet by
-holding nothing. The classes that share a key make candidate groups, by connected components.
+size needs; a set gives keys for its own range and for those below that may hold a partner. More parts, as many as are likely to be empty, stand in for empty parts,
+which give no keys (sets with more empty parts than that give keys for those too), so that sets don't meet by holding nothing.
+The classes that share a key make candidate groups, by connected components. Groups of more than one block are refined: the classes of
+each of their keys go through a signature tree of their bitmaps, and only those that may link stay together.
 
 Within a group, classes are dealt into blocks of bounded size. Each block's tree has nodes of the OR and AND of token bitmaps, the
 sizes' range, and the classes' components; a dual traversal of two trees goes only where the greatest possible overlap suffices
@@ -16,6 +17,8 @@ that this gives, by their representatives; and last those classes outside their
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,11 @@ from pyspark.sql import functions as F
 from .common import UNBLANK, blocks, components, gram_hashes, mix64, settled, text_bytes, word_hashes
 
 GROWTH = 1.33
-EXTRA = 2
 #: Classes in a block; children of a tree's node.
 BLOCK, FANOUT = 400, 16
-HASHES = "doc_id long, n long, h1 long, h2 long, keys array<long>"
+HASHES = "doc_id long, n long, h1 long, h2 long, bits binary, keys array<long>"
+#: Rows of a key that are refined together; the rows of larger keys stay together as they are.
+KEY_ROWS = 20_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -47,13 +51,28 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def size_ranges(percent: int, most: int) -> list[tuple[int, int, int]]:
-    """(least size, greatest size, parts) of each range up to the size `most`; no parts where only equal sets link."""
+def empty_parts(low: int, least: int) -> int:
+    """How many parts may be empty for `low` tokens over `least` parts and as many more: the mean and four deviations."""
+    extra = 2
+    while True:
+        parts = least + extra
+        mean = parts * math.exp(-low / parts)
+        wanted = math.ceil(mean + 4 * math.sqrt(mean)) + 1
+        if wanted <= extra or extra > 4 * least:
+            return extra
+        extra = wanted
+
+
+@functools.cache
+def size_ranges(percent: int, most: int) -> list[tuple[int, int, int, int]]:
+    """(least size, greatest size, parts, of them to make up for empty ones) of each range up to the size `most`; no parts where only
+    equal sets link."""
     out, low = [], 1
     while low <= most:
         high = max(low, int(low * GROWTH))
         d = high * (100 - percent) // percent
-        out.append((low, high, d + 1 + EXTRA if d else 0))
+        extra = empty_parts(low, d + 1) if d else 0
+        out.append((low, high, d + 1 + extra if d else 0, extra))
         low = high + 1
     return out
 
@@ -62,19 +81,35 @@ def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """The keys of a set."""
     n = len(tokens)
     out = []
-    for at, (low, high, parts) in enumerate(size_ranges(percent, n)):
+    for at, (_, high, parts, extra) in enumerate(size_ranges(percent, 1 << max(1, n).bit_length())):
         if not parts or 100 * high < percent * n:  # no smaller partner is that small
             continue
+        if size_ranges(percent, 1 << max(1, n).bit_length())[at][0] > n:
+            break
         part = (tokens % np.uint64(parts)).astype(np.int64)
         mixed = mix64(tokens + np.uint64(0x51ED270B))
         low_half = np.bincount(part, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), parts).astype(np.uint64)
         high_half = np.bincount(part, (mixed >> np.uint64(32)).astype(np.float64), parts).astype(np.uint64)
         full = np.bincount(part, minlength=parts) > 0
         key = mix64((high_half << np.uint64(32)) + low_half + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(at << 32)))
-        out.append(key if parts - full.sum() > EXTRA else key[full])
+        out.append(key if parts - full.sum() > extra else key[full])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Which of `bits` places (a power of two) the tokens have, as bytes."""
+    out = np.zeros(bits // 8, np.uint8)
+    at = (mix64(tokens) & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of several widths, all folded to the least."""
+    least = min(len(m) for m in maps)
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0) for m in maps])
+
+
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """HASHES of docs (doc_id long, text): the set's size, 128 bits that name it, and its keys."""
 
@@ -83,12 +118,13 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
             data, offsets = text_bytes(b.column(1))
             sets = [s for i, j in blocks(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
             keys = [part_keys(s, percent) for s in sets]
+            bits = [bitmap(s, 1 << min(14, max(8, (2 * len(s)).bit_length()))).tobytes() for s in sets]
             sums = np.array([[(mix64(s ^ np.uint64(k)).sum(dtype=np.uint64)) for k in (0x1234567, 0x89ABCDEF)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(ends, flat)],
-                ["doc_id", "n", "h1", "h2", "keys"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
+                ["doc_id", "n", "h1", "h2", "bits", "keys"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, HASHES)
@@ -113,23 +149,22 @@ class Forest:
 
 
 class Tree:
-    """A signature tree over sets in order of size. levels[0] are the sets; a node of the next level has FANOUT children."""
+    """A signature tree over sets in order of size, from their sizes and bitmaps. levels[0] are the sets; a node of the next level has
+    FANOUT children."""
 
-    def __init__(self, members: np.ndarray, sets: list[np.ndarray], bits: int):
-        sizes = np.array([len(sets[m]) for m in members])
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
         order = np.argsort(sizes, kind="stable")
-        self.members, sizes = members[order], sizes[order]
-        maps = np.zeros((len(members), bits // 8), np.uint8)
-        for k, m in enumerate(self.members):
-            at = (sets[m] % np.uint64(bits)).astype(np.int64)
-            np.bitwise_or.at(maps[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
-        maps = maps.view(np.uint64)
+        self.members, sizes, maps = members[order], sizes[order], np.ascontiguousarray(maps[order]).view(np.uint64)
         self.levels = [(maps, maps, sizes, sizes)]
         while len(self.levels[-1][0]) > 1:
             some, every, low, high = self.levels[-1]
             at = np.arange(0, len(some), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(some, at), np.bitwise_and.reduceat(every, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
+    @classmethod
+    def of(cls, members: np.ndarray, sets: list[np.ndarray], bits: int) -> Tree:
+        return cls(members, np.array([len(sets[m]) for m in members]), np.stack([bitmap(sets[m], bits) for m in members]))
+
     def span(self, level: int, node: int) -> np.ndarray:
         return self.members[node * FANOUT**level : (node + 1) * FANOUT**level]
 
@@ -146,8 +181,19 @@ def possible(one: tuple, i: np.ndarray, two: tuple, j: np.ndarray, percent: int)
     return (100 + percent) * overlap >= percent * (np.maximum(low1, overlap) + np.maximum(low2, overlap))
 
 
-def link(one: Tree, two: Tree, sets: list[np.ndarray], forest: Forest, percent: int) -> Iterator[tuple[int, int]]:
-    """Links between sets of the trees that join components of the forest; the forest takes them in."""
+def alike(sets: list[np.ndarray], percent: int):
+    """The exact test of two sets."""
+
+    def test(a: int, b: int) -> bool:
+        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        return 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared)
+
+    return test
+
+
+def link(one: Tree, two: Tree, forest: Forest, percent: int, test) -> Iterator[tuple[int, int]]:
+    """Links (pairs that the bounds leave and that pass the test) between members of the trees that join components of the forest;
+    the forest takes them in."""
     same = one is two
     top1, top2 = len(one.levels) - 1, len(two.levels) - 1
     stack = [(top1, 0, top2, 0)]
@@ -155,11 +201,9 @@ def link(one: Tree, two: Tree, sets: list[np.ndarray], forest: Forest, percent:
         k1, i, k2, j = stack.pop()
         if k1 == 0 and k2 == 0:
             a, b = int(one.members[i]), int(two.members[j])
-            if forest.find(a) != forest.find(b):
-                shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
-                    forest.union(a, b)
-                    yield a, b
+            if forest.find(a) != forest.find(b) and test(a, b):
+                forest.union(a, b)
+                yield a, b
             continue
         roots = {forest.find(int(m)) for m in one.span(k1, i)}
         if len(roots) == 1 and all(forest.find(int(m)) in roots for m in two.span(k2, j)):
@@ -197,9 +241,9 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
         forest = Forest(np.array([first.setdefault(int(c), k) for k, c in enumerate(cls)]))
         most = max(len(s) for s in sets)
         bits = 1 << max(6, int(np.ceil(np.log2(4 * most + 1))))
-        one = Tree(np.flatnonzero(side == 0), sets, bits)
-        two = Tree(np.flatnonzero(side == 1), sets, bits) if (side == 1).any() else one
-        for _ in link(one, two, sets, forest, percent):
+        one = Tree.of(np.flatnonzero(side == 0), sets, bits)
+        two = Tree.of(np.flatnonzero(side == 1), sets, bits) if (side == 1).any() else one
+        for _ in link(one, two, forest, percent, alike(sets, percent)):
             pass
         return [(c, int(cls[root])) for c, k in first.items() if (root := forest.find(k)) != k]
 
@@ -223,6 +267,44 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def refined(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between the documents of each key (key long, doc_id long, n long, bits binary) that may link by their bitmaps: equal
+    components, each as a star. The rows of a key beyond KEY_ROWS are tied to its first without a test."""
+
+    def solve(ids: list[int], sizes: list[int], maps: list[bytes]) -> list[tuple[int, int]]:
+        order = np.argsort(np.array(ids), kind="stable")
+        ids_ = np.array(ids)[order]
+        forest = Forest(np.arange(len(ids_)))
+        tree = Tree(np.arange(len(ids_)), np.array(sizes)[order], folded([maps[k] for k in order]))
+        for _ in link(tree, tree, forest, percent, lambda a, b: True):
+            pass
+        return [(int(ids_[k]), int(ids_[root])) for k in range(len(ids_)) if (root := forest.find(k)) != k]
+
+    def run(batches):
+        now, held, crowd = None, ([], [], []), None
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if row[0] != now:
+                    if len(held[0]) > 1:
+                        out += solve(*held)
+                    now, held, crowd = row[0], ([], [], []), None
+                if crowd is not None:
+                    out.append((max(row[1], crowd), min(row[1], crowd)))
+                    continue
+                for cell, part in zip(row[1:], held, strict=True):
+                    part.append(cell)
+                if len(held[0]) > KEY_ROWS:
+                    crowd = min(held[0])
+                    out += [(x, crowd) for x in held[0] if x != crowd]
+                    held = ([], [], [])
+            yield _edges(out)
+        if len(held[0]) > 1:
+            yield _edges(solve(*held))
+
+    return rows.select("key", "doc_id", "n", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -244,12 +326,17 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK)
 
     # candidate groups of classes that share a key
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2")
-    keys = sets.join(reps, ["doc_id", "n", "h1", "h2"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    unique = sets.join(reps, ["doc_id", "n", "h1", "h2"], "left_semi")
+    keys = unique.select("doc_id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key", "m")
+    shared = settled(shared, "keys")
     groups = components(keys.join(shared, "key").where("doc_id > m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
-    sizes = groups.groupBy("root").agg(F.ceil((F.count(F.lit(1)) + 1) / block).cast("int").alias("nblocks"))
-    grouped = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp")).join(sizes.withColumnRenamed("root", "grp"), "grp")
-    grouped = grouped.select("doc_id", "grp", "nblocks").union(sizes.select("root", "root", "nblocks"))
+    grouped = settled(_sized(groups, block), "groups")
+    wide = grouped.where("nblocks > 1")
+    if not wide.isEmpty():
+        rows = unique.join(wide.select("doc_id"), "doc_id").select("doc_id", "n", "bits", F.explode("keys").alias("key"))
+        closer = components(refined(rows.join(shared.select("key"), "key"), percent))
+        grouped = grouped.where("nblocks = 1").union(_sized(closer, block))
     placed = grouped.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("nblocks")).cast("int"))
     # merged whatever the sizes: the groups grow with the documents
     texts = settled(ids.hint("merge").join(placed, "doc_id"), "candidates")
@@ -268,6 +355,13 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK)
     return every.select("doc_id", F.col("n").alias("n_shingles")).join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _sized(groups: DataFrame, block: int) -> DataFrame:
+    """(doc_id, grp, nblocks) for every node of components (node, root)."""
+    sizes = groups.groupBy("root").agg(F.ceil((F.count(F.lit(1)) + 1) / block).cast("int").alias("nblocks"))
+    nodes = groups.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("grp"), "nblocks")
+    return nodes.union(sizes.select("root", "root", "nblocks"))
+
+
 def _across(texts: DataFrame, inside: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Every class's least one (a, b), from texts (grp, block, nblocks, doc_id, text) of groups of several blocks and what is connected
     within blocks."""

@@ -64,8 +64,8 @@ def test_tree_links_reach_what_all_pairs_reach():
         else:
             sets.append(np.unique(rng.integers(0, 2**63, rng.integers(5, 80)).astype(np.uint64)))
     forest, plain_forest = (ngramjoin.Forest(np.arange(len(sets))) for _ in range(2))
-    tree = ngramjoin.Tree(np.arange(len(sets)), sets, 512)
-    n = len(list(ngramjoin.link(tree, tree, sets, forest, 80)))
+    tree = ngramjoin.Tree.of(np.arange(len(sets)), sets, 512)
+    n = len(list(ngramjoin.link(tree, tree, forest, 80, ngramjoin.alike(sets, 80))))
     for a, b in itertools.combinations(range(len(sets)), 2):
         s = len(np.intersect1d(sets[a], sets[b]))
         if 100 * s >= 80 * (len(sets[a]) + len(sets[b]) - s):
@@ -75,6 +75,26 @@ def test_tree_links_reach_what_all_pairs_reach():
     assert n == len(sets) - len(set(roots))
 
 
+def test_linked_sets_share_a_key():
+    rng = np.random.default_rng(1)
+    for percent in (70, 80, 90):
+        for size in (5, 9, 20, 60, 230, 900):
+            for _ in range(12):
+                a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.uniform(0, 0.25)], rng.integers(0, 2**63, rng.integers(0, 2 + size // 8)).astype(np.uint64)]))
+                shared = len(np.intersect1d(a, b))
+                if len(a) != shared and 100 * shared >= percent * (len(a) + len(b) - shared):
+                    assert len(np.intersect1d(ngramjoin.part_keys(a, percent), ngramjoin.part_keys(b, percent)))
+
+
+def test_keys_of_many_rows_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "KEY_ROWS", 2)
+    rows = [(7, k, 10, bytes([1 << (k % 8)]) * 32) for k in range(9)] + [(8, 20, 10, b"\x0f" * 32), (8, 21, 10, b"\x0f" * 32)]
+    frame = spark.createDataFrame([(k, d, n, bytearray(b)) for k, d, n, b in rows], "key long, doc_id long, n long, bits binary").coalesce(1)
+    got = {(r.a, r.b) for r in ngramjoin.refined(frame, 80).collect()}
+    assert (21, 20) in got
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     text = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(5, text, 1), (5, text, 2), (3, text, 3), (None, text, 4), (9, "else", 5)], "doc_id long, text string, n int")
