@@ -31,7 +31,9 @@ from .common import UNBLANK, blocks, components, gram_hashes, mix64, settled, te
 GROWTH = 1.33
 #: Classes in a block; children of a tree's node.
 BLOCK, FANOUT = 400, 16
-HASHES = "doc_id long, n long, h1 long, h2 long, bits binary, keys array<long>"
+HASHES = "doc_id long, n long, h1 long, h2 long, bits binary"
+#: Keys that are combined at a time before they are dealt out.
+COMBINE = 2_000_000
 #: Rows of a key that are refined together; the rows of larger keys stay together as they are.
 KEY_ROWS = 20_000
 
@@ -110,26 +112,106 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0) for m in maps])
 
 
-def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """HASHES of docs (doc_id long, text): the set's size, 128 bits that name it, and its keys."""
+def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
+    data, offsets = text_bytes(column)
+    return [s for i, j in blocks(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """HASHES of docs (doc_id long, text): the set's size, 128 bits that name it, and its bitmap."""
 
     def run(batches):
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
-            sets = [s for i, j in blocks(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
-            keys = [part_keys(s, percent) for s in sets]
+            sets = sets_of(b.column(1), width)
             bits = [bitmap(s, 1 << min(14, max(8, (2 * len(s)).bit_length()))).tobytes() for s in sets]
             sums = np.array([[(mix64(s ^ np.uint64(k)).sum(dtype=np.uint64)) for k in (0x1234567, 0x89ABCDEF)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                ["doc_id", "n", "h1", "h2", "bits", "keys"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, HASHES)
 
 
+def first_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, id) pairs in order, and for each its key's least id."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids = keys[new], ids[new]
+    head = np.zeros(len(keys), np.int64)
+    head[1:] = np.where(keys[1:] != keys[:-1], np.arange(1, len(keys)), 0)
+    return keys, ids, ids[np.maximum.accumulate(head)] if len(ids) else ids
+
+
+def shared_keys(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+    """(key, doc_id, m) for each key of several documents and each of them but the least, which is m. docs: doc_id long, text.
+
+    A map task keeps each key's least document and passes the others on at once, with a m that is one of the key's documents; so a
+    key that a third of all documents share is a row for each task where keys meet. Keys travel packed, a block for each bucket.
+    """
+
+    def deal(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            keys, ids, least = first_of(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            late = ids != least
+            bucket = (mix64(keys) >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.argsort(bucket[~late], kind="stable")
+            own, key, doc = bucket[~late][order], keys[~late][order], ids[~late][order]
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+            codec = pa.Codec("zstd", 1)
+            blobs = [(int(own[i]), j - i, codec.compress(key[i:j].tobytes() + doc[i:j].tobytes(), asbytes=True)) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
+            for kind, columns in ((0, ([x[0] for x in blobs], [x[1] for x in blobs], [x[2] for x in blobs])), (1, None)):
+                if kind:
+                    extra = np.stack([keys[late].view(np.int64), ids[late], least[late]], axis=1)
+                    cuts = range(0, len(extra), 50_000)
+                    columns = ([(int(k) // 50_000) % buckets for k in cuts], [len(extra[k : k + 50_000]) for k in cuts], [codec.compress(np.ascontiguousarray(extra[k : k + 50_000]).tobytes(), asbytes=True) for k in cuts])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([kind] * len(columns[0]), pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["bucket", "kind", "n", "blob"])
+
+        for b in batches:
+            ids = np.asarray(b.column(0))
+            for doc, tokens in zip(ids, sets_of(b.column(1), width), strict=True):
+                keys = part_keys(tokens, percent)
+                held.append((keys, np.full(len(keys), doc)))
+                size += len(keys)
+                if size >= COMBINE:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    def meet(batches):
+        codec = pa.Codec("zstd")
+        now, held = None, []
+
+        def out(keys, ids, least):
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (keys, ids, least)], ["key", "doc_id", "m"])
+
+        def solve():
+            keys, ids, least = first_of(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            late = ids != least
+            return out(keys[late], ids[late], least[late])
+
+        for b in batches:
+            for bucket, kind, n, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if kind:
+                    rows = np.frombuffer(codec.decompress(blob, 24 * n, asbytes=True), np.int64).reshape(-1, 3)
+                    yield out(rows[:, 0], rows[:, 1], rows[:, 2])
+                    continue
+                if bucket != now:
+                    if held:
+                        yield solve()
+                    now, held = bucket, []
+                raw = codec.decompress(blob, 16 * n, asbytes=True)
+                held.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n)))
+        if held:
+            yield solve()
+
+    packed = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, kind int, n long, blob binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, doc_id long, m long")
+
+
 class Forest:
     """Union-find whose roots are the smallest members."""
 
@@ -233,8 +315,7 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     def solve(part: pa.Table) -> list[tuple[int, int]]:
         cls, side = (np.asarray(part.column(k)) for k in ("cls", "side"))
-        data, offsets = text_bytes(part.column("text"))
-        sets = [s for i, j in blocks(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
+        sets = sets_of(part.column("text"), width)
         first: dict[int, int] = {}
         order = np.argsort(cls, kind="stable")  # so that a root has the least class
         cls, side, sets = cls[order], side[order], [sets[k] for k in order]
@@ -318,25 +399,23 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK)
     texts joins the components of all of them. Null ids stand for themselves: their set takes part for none, and component_id is null.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    every = settled(described(ids, width, percent), "shingles")
+    every = settled(described(ids, width), "shingles")
     sets = every.where("doc_id is not null and n > 0")
     classes = sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = sets.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "n", "rep")
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
-    # candidate groups of classes that share a key
-    reps = classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2")
-    unique = sets.join(reps, ["doc_id", "n", "h1", "h2"], "left_semi")
-    keys = unique.select("doc_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key", "m")
-    shared = settled(shared, "keys")
-    groups = components(keys.join(shared, "key").where("doc_id > m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
-    grouped = settled(_sized(groups, block), "groups")
+    # candidate groups of classes that share a key; the copies within them count as their class
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = settled(shared_keys(ids.where("doc_id is not null"), width, percent, buckets), "keys")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    grouped = settled(_sized(_only(components(shared.select(F.col("doc_id").alias("a"), F.col("m").alias("b"))), reps), block), "groups")
     wide = grouped.where("nblocks > 1")
     if not wide.isEmpty():
-        rows = unique.join(wide.select("doc_id"), "doc_id").select("doc_id", "n", "bits", F.explode("keys").alias("key"))
-        closer = components(refined(rows.join(shared.select("key"), "key"), percent))
-        grouped = grouped.where("nblocks = 1").union(_sized(closer, block))
+        pairs = shared.select("key", "doc_id").union(shared.select("key", "m")).distinct().join(wide.select("doc_id"), "doc_id")
+        rows = pairs.join(sets.select("doc_id", "n", "bits").distinct(), "doc_id")
+        closer = components(refined(rows, percent))
+        grouped = grouped.where("nblocks = 1").union(_sized(_only(closer, reps), block))
     placed = grouped.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("nblocks")).cast("int"))
     # merged whatever the sizes: the groups grow with the documents
     texts = settled(ids.hint("merge").join(placed, "doc_id"), "candidates")
@@ -355,11 +434,16 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK)
     return every.select("doc_id", F.col("n").alias("n_shingles")).join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _sized(groups: DataFrame, block: int) -> DataFrame:
-    """(doc_id, grp, nblocks) for every node of components (node, root)."""
-    sizes = groups.groupBy("root").agg(F.ceil((F.count(F.lit(1)) + 1) / block).cast("int").alias("nblocks"))
-    nodes = groups.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("grp"), "nblocks")
-    return nodes.union(sizes.select("root", "root", "nblocks"))
+def _only(groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, grp) of the representatives in components (node, root)."""
+    nodes = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp"))
+    return nodes.union(groups.select(F.col("root").alias("doc_id"), F.col("root").alias("grp")).distinct()).join(reps, "doc_id", "left_semi")
+
+
+def _sized(nodes: DataFrame, block: int) -> DataFrame:
+    """(doc_id, grp, nblocks) of the groups of two or more."""
+    sizes = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return nodes.join(sizes.select("grp", F.ceil(F.col("n") / block).cast("int").alias("nblocks")), "grp").select("doc_id", "grp", "nblocks")
 
 
 def _across(texts: DataFrame, inside: DataFrame, width: int, percent: int, block: int) -> DataFrame:
