@@ -4,14 +4,16 @@ Each source's rows are cut into blocks. Block j (from 0) of a source with weight
 by slot ceil((j + 1) / w); of the released blocks the one with the earliest deadline gets the slot. Then, at every slot, no
 source is a whole block away from its share.
 
-Weights are rounded to shares of a period, so that the schedule repeats: one period is scheduled by the driver, and block j's
-slot follows in closed form. When a source runs out, the others go on with their weights scaled up, in a new phase; there
-are as many phases as sources. No row is dropped or repeated.
+Weights are taken as they are, in whole numbers of any size. Where they are whole shares of a short period, the schedule repeats:
+one period is scheduled by the driver, and block j's slot follows in closed form. Other weights have no short period, and the
+driver schedules every block (one step for block_rows rows). When a source runs out, the others go on with their weights scaled
+up, in a new phase; there are as many phases as sources. No row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -55,13 +57,47 @@ def period_slots(parts: dict[str, int], period: int) -> dict[str, list[int]]:
     return out
 
 
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights' exact proportions in whole numbers."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {k: int(x * scale) for k, x in exact.items()}
+
+
+def phase_slots(left: dict[str, int], parts: dict[str, int]) -> dict[str, list[int]]:
+    """As period_slots, for weights without a short period: slots of each source's blocks until one source has no more of them."""
+    out: dict[str, list[int]] = {k: [] for k in parts}
+    total, slot = sum(parts.values()), 0
+    waiting = [(0, k, 0) for k in sorted(parts)]  # release, source, block
+    ready: list[tuple[int, str, int]] = []
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            _, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // parts[k]), k, j))
+        due, k, j = heapq.heappop(ready)
+        assert due > slot, "a deadline was missed"
+        out[k].append(slot)
+        if j + 1 == left[k]:
+            return out
+        heapq.heappush(waiting, ((j + 1) * total // parts[k], k, j + 1))
+        slot += 1
+
+
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int = 1000) -> list[dict]:
-    """One entry for each phase: first slot, period, and for each source its first block, end block and slots in the period."""
+    """One entry for each phase: first slot, period, and for each source its first block, end block and slots in the period.
+
+    A phase whose weights aren't whole shares of the period is one period as long as itself."""
     left, done, start, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
+        exact = whole({k: weights[k] for k in left})
         parts, q = shares({k: weights[k] for k in left}, period)
-        slots = period_slots(parts, q)
-        end = min(((n - 1) // parts[k]) * q + slots[k][(n - 1) % parts[k]] for k, n in left.items()) + 1
+        if all(parts[k] * sum(exact.values()) == exact[k] * q for k in left):
+            slots = period_slots(parts, q)
+            end = min(((n - 1) // parts[k]) * q + slots[k][(n - 1) % parts[k]] for k, n in left.items()) + 1
+        else:
+            slots = phase_slots(left, exact)
+            end = q = sum(map(len, slots.values()))
+            parts = {k: len(own) for k, own in slots.items()}
         phase = {"start": start, "period": q, "sources": {}}
         for k in list(left):
             took = end // q * parts[k] + sum(s < end % q for s in slots[k])
@@ -88,7 +124,7 @@ def mix(
     """df with block, slot and position columns, in which sorting by position gives the mixture.
 
     weights: target weights by source, for all sources present (KeyError else); by default proportional to rows ** alpha, as
-    in temperature sampling. Within a source rows go in the order of a hash of their key, dealt over buckets of about
+    in temperature sampling. period: the longest period in closed form; longer ones are scheduled block by block. Within a source rows go in the order of a hash of their key, dealt over buckets of about
     bucket_rows, so no source, however large, is sorted in one task.
 
     Result columns (replacing columns of these names): mix_block, the source's block; mix_slot, its slot; mix_position =

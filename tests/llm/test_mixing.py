@@ -58,3 +58,25 @@ def test_edges(spark):
         mixing.mix(docs, weights={"a": 1})
     with pytest.raises(ValueError):
         mixing.mix(docs, weights={"a": 1, mixing.NULL_SOURCE: 0})
+
+
+def test_target_weights_hold_on_a_large_table():
+    rows = {f"s{k:02d}": 20_000 for k in range(19)} | {"big": 190_000}
+    blocks = {k: -(-n // 64) for k, n in rows.items()}
+    weights = {k: n**0.5 for k, n in rows.items()}
+    used, left = [], dict(blocks)
+    for phase in mixing.phases(blocks, weights):
+        live = [k for k, n in left.items() if n]
+        total, at = sum(weights[k] for k in live), {}
+        for k, (lo, hi, slots) in phase["sources"].items():
+            for n in range(hi - lo):
+                at[n // len(slots) * phase["period"] + slots[n % len(slots)]] = k
+            used += [(k, j) for j in range(lo, hi)]
+        assert sorted(at) == list(range(len(at)))
+        took = dict.fromkeys(live, 0)
+        for t in range(len(at)):
+            took[at[t]] += 1
+            assert all(abs(took[k] - (t + 1) * weights[k] / total) < 1 + 1e-9 for k in live), (phase["start"], t)
+        for k in live:
+            left[k] -= took[k]
+    assert sorted(used) == sorted((k, j) for k, n in blocks.items() for j in range(n))
