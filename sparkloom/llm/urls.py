@@ -1,9 +1,10 @@
 """URL filter by a path-template tree, in DataFrame operations only.
 
 Each host has a tree of path segments. Segments that vary (those with digits, and the rare ones of a node with many children)
-are generalised into wildcards, level by level. Labelled pages give each template its share of blocked pages; sibling
-branches whose shares don't differ significantly are merged. A template is rejected if its share, smoothed towards the prior,
-exceeds the threshold (which the prior alone never does). Everything is counted by template before it is shuffled, so a host with a third of all pages costs one row
+are generalised into wildcards, level by level. Labelled pages give each branch, from the templates up to the host, its share of
+blocked pages; sibling branches at any level whose shares don't differ significantly are merged. A branch's share is smoothed
+towards that of the branch above, the host's towards the prior, so that a branch without labels has the share of the closest one
+above that has some. A template is rejected if its smoothed share exceeds the threshold (which the prior alone never does). Everything is counted by template before it is shuffled, so a host with a third of all pages costs one row
 for each template and task.
 """
 
@@ -64,29 +65,38 @@ def templates(counts: DataFrame, fanout: int = 16, share: float = 0.02) -> DataF
 
 
 def judged(known: DataFrame, pull: float = 4.0, prior: float | None = None, z: float = 1.96) -> DataFrame:
-    """(host, template, branch, purity) for each template of `known` (host, template, n, labelled, blocked).
+    """(host, template, branch, purity) for each template (of a segment or more) of `known` (host, template, n, labelled, blocked).
 
-    branch: the template, or its parent with `*` where a labelled branch doesn't differ (two-proportion z test) from its labelled
-    siblings together; branches merged that way share their counts. purity = (blocked + pull * prior) / (labelled + pull), the
-    prior by default half the share of blocked among all labelled pages; a template without labels has the prior.
+    Counts go up through all levels of a host's tree. branch: the template, with `*` at each level where its labelled branch
+    doesn't differ (two-proportion z test) from its labelled siblings together; branches merged that way share their counts. From
+    the host down, purity = (blocked + pull * purity above) / (labelled + pull), so a branch without labels has that of the closest
+    one above with some. Above the host stands the prior, by default half the share of blocked among all labelled pages.
     """
     each = known.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    each = each.withColumn("parent", F.expr("slice(template, 1, greatest(size(template) - 1, 0))"))
-    total = each.groupBy("host", "parent").agg(F.sum("labelled").alias("l_all"), F.sum("blocked").alias("b_all"))
-    both = each.join(total, ["host", "parent"])
+    # a row for each template and level
+    at = each.withColumn("level", F.explode(F.sequence(F.lit(1), F.size("template")))).withColumn("node", F.slice("template", F.lit(1), F.col("level")))
+    node = at.groupBy("host", "level", "node").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    node = node.withColumn("parent", F.slice("node", F.lit(1), F.col("level") - 1))
+    total = node.groupBy("host", "parent").agg(F.sum("labelled").alias("l_all"), F.sum("blocked").alias("b_all"))
+    both = node.join(total, ["host", "parent"])
     p = F.col("b_all") / F.greatest("l_all", F.lit(1))
     gap = F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - p)
     error = F.sqrt(p * (1 - p) / F.greatest("labelled", F.lit(1)))
     alike = (F.col("labelled") > 0) & (F.col("labelled") < F.col("l_all")) & (gap <= z * error)
-    both = both.withColumn("branch", F.when(alike, F.concat("parent", F.array(F.lit("*")))).otherwise(F.col("template")))
-    summed = both.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    marks = both.select("host", "node", F.when(alike, "*").otherwise(F.element_at("node", -1)).alias("mark"))
+    in_order = lambda *c: F.array_sort(F.collect_list(F.struct("level", *c)))  # noqa: E731  (one template's levels)
+    named = at.join(marks, ["host", "node"]).groupBy("host", "template", "labelled", "blocked").agg(in_order("mark").getField("mark").alias("branch"))
+    steps = named.withColumn("level", F.explode(F.sequence(F.lit(0), F.size("branch")))).withColumn("stem", F.slice("branch", F.lit(1), F.col("level")))
+    summed = steps.groupBy("host", "stem").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    chains = steps.join(summed, ["host", "stem"]).groupBy("host", "template", "branch").agg(in_order("l", "b").alias("chain"))
     if prior is None:
         whole = each.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1)) / 2).alias("prior"))
-        summed = summed.join(F.broadcast(whole), F.lit(True))  # one row
+        chains = chains.join(F.broadcast(whole), F.lit(True))  # one row
     else:
-        summed = summed.withColumn("prior", F.lit(prior))
-    purity = (F.col("b") + pull * F.coalesce("prior", F.lit(0.0))) / (F.col("l") + pull)
-    return both.select("host", "template", "branch").join(summed.select("host", "branch", purity.alias("purity")), ["host", "branch"])
+        chains = chains.withColumn("prior", F.lit(prior))
+    first = F.coalesce(F.col("prior").cast("double"), F.lit(0.0))
+    purity = F.aggregate("chain", first, lambda above, x: (x["b"] + pull * above) / (x["l"] + pull))
+    return chains.select("host", "template", "branch", purity.alias("purity"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.5, **options) -> DataFrame:

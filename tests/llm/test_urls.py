@@ -44,3 +44,17 @@ def test_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x", 5), (1, "http://a.net/x", 6), (None, None, 7)], "page_id long, url string, host int")
     assert sorted((str(r.page_id), r.host, r.verdict) for r in urls.judge(pages).collect()) == [("1", "a.net", "block"), ("1", "a.net", "block"), ("None", "", "allow")]
     assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_branches_without_labels_take_the_closest_labelled_ones_above(spark):
+    rules = [("h.com", f"/bad/{a}/x", "block") for a in "abcde"] + [("h.com", f"/good/{a}/x", "allow") for a in "abcdefghijkl"]
+    rows = [f"http://h.com/bad/{a}/x" for a in "abcde"] * 8 + [f"http://h.com/good/{a}/x" for a in "abcdefghijkl"] * 8
+    new = ["http://h.com/bad/a/new", "http://h.com/bad/new/page", "http://h.com/bad/new", "http://h.com/good/a/new", "http://h.com/good/new/page", "http://h.com/other/page", "http://else.com/bad/a/x"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows + new)), "page_id long, url string"), rules).collect()
+    by = {r.page_id - len(rows): r for r in got if r.page_id >= len(rows)}
+    assert len(got) == len(rows + new) and [by[k].verdict for k in range(len(new))] == ["block"] * 3 + ["allow"] * 4
+    # the host has 40 blocked pages of 136 and the prior is half of that; branches that are alike share one name
+    host = (40 + 4 * 20 / 136) / 140
+    bad = (40 + 4 * host) / 44
+    assert abs(by[5].purity - host) < 1e-9 and abs(by[1].purity - bad) < 1e-9 and abs(by[6].purity - 20 / 136) < 1e-9
+    assert {r.template for r in got if r.path.endswith("/x") and r.host == "h.com"} == {"bad/*/x", "good/*/x"}
