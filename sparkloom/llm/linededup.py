@@ -7,7 +7,8 @@ State, by key (128 hash bits of a normalised line):
 
 An insertion counts the new documents' keys first (combined before the shuffle, so a line in a third of all documents is one
 row for each task). Each shard's filter is then asked for each new key: a miss proves the key new, and its counts are final; only
-hits are looked up in the exact table. A deletion takes counts back, and keys at zero leave both the table and the filter.
+hits are looked up in the exact table. A deletion takes counts back, and keys at zero leave both the table and the filter: the filters of their
+shards are built again from the exact table.
 """
 
 from __future__ import annotations
@@ -103,14 +104,19 @@ class Cuckoo:
         return mark[~fits], at[~fits]
 
     def delete(self, keys: np.ndarray) -> None:
-        """Takes out one copy of each key, all of which must have been inserted."""
+        """Takes out one copy of each key, all of which must have been inserted.
+
+        A mark that stands in several parts may be another key's in all but one of them, so it stays: no key left is lost.
+        """
         for key in np.asarray(keys):
+            hits = []
             for part in self.parts:
                 mark, one, two = self._places(part, np.array([key]))
                 hit = next(((int(b), int(s)) for b in (one[0], two[0]) for s in np.flatnonzero(part[b] == mark[0])), None)
                 if hit:
-                    part[hit] = 0
-                    break
+                    hits.append((part, hit))
+            if len(hits) == 1:
+                hits[0][0][hits[0][1]] = 0
 
     def dump(self) -> bytes:
         sizes = np.array([len(self.parts), *(len(p) for p in self.parts)], np.int64)
@@ -225,7 +231,7 @@ class LineIndex:
         again = kept.join(touched, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("owner"))
         refs = settled(self.refs.join(touched, ["h1", "h2"], "left_anti").union(again), "refs")
         dead = touched.join(again, ["h1", "h2"], "left_anti")
-        return LineIndex(refs, settled(self._thinned(dead), "filters"), kept, self.shards, self.least)
+        return LineIndex(refs, settled(self._rebuilt(refs, dead), "filters"), kept, self.shards, self.least)
 
     def _built(self, refs: DataFrame) -> DataFrame:
         """A filter for each shard over the table's keys."""
@@ -246,21 +252,11 @@ class LineIndex:
 
         return rows.mapInArrow(run, "shard int, filter binary")
 
-    def _thinned(self, dead: DataFrame) -> DataFrame:
-        """The filters without the dead keys."""
-        lists = dead.groupBy(self._shard().alias("shard")).agg(F.collect_list("h1").alias("gone"))  # the keys of one shard
-        both = self.filters.join(lists, "shard", "left")
-
-        def run(batches):
-            for b in batches:
-                out = []
-                for data, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    own = Cuckoo.load(data)
-                    own.delete(np.array(gone or [], np.int64).view(np.uint64))
-                    out.append(own.dump())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["shard", "filter"])
-
-        return both.select("shard", "filter", "gone").mapInArrow(run, "shard int, filter binary")
+    def _rebuilt(self, refs: DataFrame, dead: DataFrame) -> DataFrame:
+        """The filters, those of the dead keys' shards built again from refs."""
+        stale = dead.select(self._shard().alias("shard")).distinct()  # a row for each shard at most
+        mine = refs.withColumn("shard", self._shard()).join(stale, "shard", "left_semi")
+        return self.filters.join(stale, "shard", "left_anti").select("shard", "filter").union(self._built(mine.drop("shard")))
 
 
 def shards_for(spark: SparkSession) -> int:

@@ -16,3 +16,22 @@ def test_cuckoo_round_trip():
     f.delete(keys[:500])
     assert f.has(keys[500:]).all()
     assert f.has(keys[:500]).mean() < 0.02
+
+
+def test_deletions_from_later_parts_leave_the_earlier_ones():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, 200_000).astype(np.uint64)
+    f = Cuckoo()
+    for part in np.array_split(keys, 40):
+        f.insert(part)
+    assert len(f.parts) > 2
+    first = np.zeros(len(keys), bool)
+    alone = Cuckoo()
+    for part in np.array_split(np.arange(len(keys)), 40):
+        alone.insert(keys[part])
+        if len(alone.parts) > 2:
+            break
+        first[part] = True
+    f.delete(keys[~first])
+    assert f.has(keys[first]).all()
+    assert f.has(keys[~first]).mean() < 0.02

@@ -65,3 +65,20 @@ def test_repeated_ids_nulls_and_other_columns(spark):
     out = {r._gone: (r.text, r.n_dropped) for r in linededup.dedup(docs).collect()}
     assert out == {1: (line, 0), 2: (line, 0), 3: ("", 1), 4: ("own", 1)}
     assert linededup.dedup(docs.limit(0)).count() == 0
+
+
+def test_a_deletion_leaves_no_dead_and_loses_no_live_key_in_chained_filters(spark):
+    import numpy as np
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 1500), k -> concat('line ', id, ' of its own ', k)), '\\n') AS text")
+    full = linededup.LineIndex.empty(spark, 1).insert(docs)
+    assert len(linededup.Cuckoo.load(full.filters.first().filter).parts) > 1
+    less = full.delete(docs.where("doc_id >= 20").select("doc_id"))
+    (stored,) = less.filters.collect()
+    own = linededup.Cuckoo.load(stored.filter)
+    live = np.array([r.h1 for r in less.refs.collect()], np.int64).view(np.uint64)
+    assert len(live) == 30_000 and own.has(live).all()
+    assert sum(int((p != 0).sum()) for p in own.parts) == len(live)
+    gone = full.refs.join(less.refs, ["h1", "h2"], "left_anti")
+    assert own.has(np.array([r.h1 for r in gone.collect()], np.int64).view(np.uint64)).mean() < 0.01
+    assert less.delete(docs.select("doc_id")).filters.count() == 0
