@@ -26,14 +26,14 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy (bits a character) of a window, by class.
 HEX_BITS, MIXED_BITS = 3.0, 3.7
-#: Suppressed candidates: UUIDs, paths and words joined by marks, runs of one class of letters, and strings that say they are no secret.
+#: Suppressed candidates: UUIDs, words (letters of one case, or capitalised) alone or joined by marks and in paths, and digits and marks.
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]+$",
-    r"^[A-Za-z]*([/_=-]+[A-Za-z]*)+$",
+    r"^(?!.*(?:[a-z][A-Z]|[A-Z]{2}[a-z]))[A-Za-z/_=-]+$",
     r"^[0-9/_=+-]+$",
-    r"(?i)example|sample|placeholder|xxxx|test",
 ]
+#: Tokens between marks that say they are no secret; the rest of their run is scanned without them.
+NO_SECRET = r"(?i)(?<![a-z0-9+])[a-z0-9+]*?(?:example|sample|placeholder|xxxx|test)[a-z0-9+]*"
 #: c log2 c for the counts of a window.
 F_OF = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]
 
@@ -86,12 +86,12 @@ def best_window(s: Column) -> Column:
 
 
 def suspicious(s: Column) -> Column:
-    """Whether a candidate isn't allowed and has a window over its class's threshold."""
+    """Whether a candidate isn't allowed and has a window over its class's threshold that touches no token of NO_SECRET."""
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | s.rlike(pattern)
     bits = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
-    return F.when(allowed, F.lit(False)).otherwise(best_window(s) >= bits)
+    return F.when(allowed, F.lit(False)).otherwise(F.array_max(F.transform(F.split(s, NO_SECRET, -1), best_window)) >= bits)
 
 
 def _base_spans(rank: int, kind: str, pattern: str, group: int, least: int) -> Column:

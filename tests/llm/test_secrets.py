@@ -61,3 +61,13 @@ def test_window_entropy_against_plain_counts(spark):
 
 def test_no_rows(spark):
     assert secrets.op8(spark.createDataFrame([], "doc_id long, text string, spans int")).count() == 0
+
+
+def test_allow_list_drops_no_more_than_it_says(spark):
+    key = "k9Xw2LmQ8vRt5ZpY3sBn7Jd"
+    lost = ["kQxWbLmQzvRtNZpYgsBnHJd", f"/latest/{key}", f"/test/{key}", f"{key}/sample-file", "kQxWbLmQzvRtN/ZpYgsBnHJd"]
+    allowed = ["thequickbrownfoxjumpsoverthelazydog", "THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG", "/Usr/local/SHARE/quick_Brown-foxes=jump", f"a/EXAMPLE{key}", f"{key}test/b", "z" * 100_000, "-" * 5000 + "/Ab" * 5000]
+    docs = spark.createDataFrame(list(enumerate(lost + allowed)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.op8(docs).collect()}
+    assert [got[k] for k in range(len(lost))] == [f"entropy:0:{len(t)}" for t in lost]
+    assert [got[len(lost) + k] for k in range(len(allowed))] == [""] * len(allowed)
