@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: tables, settled intermediate results, Arrow text blocks, hashing, components."""
+"""Helpers that the corpus operators share: tables, settled intermediate results, Arrow text blocks, hashing."""
 
 from __future__ import annotations
 
@@ -47,6 +47,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def joined_skewed(rows: DataFrame, by_key: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows inner-joined with by_key (a row for each key, of which `weight` says how many of rows have it), so that no key is a task's load.
+
+    Keys of more than a tenth of a partition's even share of rows are broadcast: at most ten for each partition. The others are merged.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = by_key.agg(F.sum(weight)).first()[0] or 0
+    most = max(1, total // (10 * parts))
+    hot = F.broadcast(by_key.where(F.col(weight) > most))
+    cold = rows.join(F.broadcast(by_key.where(F.col(weight) > most).select(*on)), on, "left_anti").hint("merge").join(by_key.where(F.col(weight) <= most), on)
+    return rows.join(hot, on).union(cold)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> S33)
@@ -86,70 +99,6 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20):
         i = j
 
 
-def forested(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the same nodes: of each Arrow batch only a star for each component that its own edges make."""
-
-    def run(batches):
-        for b in batches:
-            nodes, at = np.unique(np.concatenate([np.asarray(b.column(0)), np.asarray(b.column(1))]), return_inverse=True)
-            one, two = at[: b.num_rows], at[b.num_rows :]
-            label = np.arange(len(nodes))
-            while True:  # labels are places in the sorted nodes: the least wins
-                least = label.copy()
-                np.minimum.at(least, one, label[two])
-                np.minimum.at(least, two, label[one])
-                least = least[least]
-                if (least == label).all():
-                    break
-                label = least
-            far = np.flatnonzero(label != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
-
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a long, b long, a > b or equal): (node, root), root the smallest node of the component.
-
-    Each Arrow batch of edges is first reduced to stars. Then two local steps alternate. Large star: each node's larger neighbours are linked to its smallest neighbour. Small star:
-    each node's smaller neighbours, and the node itself, are linked to the smallest of them. Both aggregate by node before
-    they join, so a hub is one combined row for each task. Edges shrink to stars in a logarithmic number of rounds; each
-    round is written to the shared folder. It runs until nothing changes and raises if `rounds` don't suffice.
-    """
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            both = pairs
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
-        if large:
-            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a > b")
-
-    def mark(pairs: DataFrame) -> tuple:
-        # 64-bit sums of hashes: equal edge sets have equal marks
-        r = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    pairs = settled(forested(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "edges")
-    before = mark(pairs)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        pairs = settled(star(star(pairs, True), False).distinct(), "edges")
-        now = mark(pairs)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 _BYTES = byte_table(29)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Masks of bytes that make words: all but ASCII blanks; and letters, digits and bytes over 127 only.

@@ -1,18 +1,19 @@
-"""N-gram Jaccard join: signature trees over blocks of candidate groups.
+"""N-gram Jaccard join: signature trees over the classes that share a key, then over blocks of candidate groups.
 
-A document's set is that of its word shingles. Equal sets are one class. For classes, candidates come first, exactly: two sets of
+A document's set is that of its word shingles. Equal sets are one class, named by a hash, and only classes travel. Candidates come first, exactly: two sets of
 Jaccard similarity p % or more, the smaller of a tokens, differ in at most d = floor(a (100 - p) / p) tokens; so if tokens are dealt
 over d + 1 parts by hash, one part at least is the same in both. Sizes are put into ranges, each with the parts that its largest
 size needs; a set gives keys for its own range and for those below that may hold a partner. More parts, as many as are likely to be empty, stand in for empty parts,
 which give no keys (sets with more empty parts than that give keys for those too), so that sets don't meet by holding nothing.
-The classes that share a key make candidate groups, by connected components. Groups of more than one block are refined: the classes of
-each of their keys go through a signature tree of their bitmaps, and only those that may link stay together.
-
-Within a group, classes are dealt into blocks of bounded size. Each block's tree has nodes of the OR and AND of token bitmaps, the
-sizes' range, and the classes' components; a dual traversal of two trees goes only where the greatest possible overlap suffices
-and the components aren't one already, and the pairs that are left are compared exactly. What links connect is given by the
-least member, and never as all pairs of a group. Groups of several blocks take three steps: each block with itself; the components
-that this gives, by their representatives; and last those classes outside their group's largest component with every block.
+
+The classes of each shared key go through a signature tree of their bitmaps, of which the nodes hold the OR and AND of token bitmaps and
+the sizes' range; a dual traversal goes only where the greatest possible overlap suffices and the components aren't one
+already. Those that may link are tied, and what ties connect is a candidate group.
+
+Within a group, classes are dealt into blocks of bounded size, and the trees of blocks are traversed in the same way, but the pairs
+that are left are compared exactly. What links connect is given by the least member, and never as all pairs of a group. Groups of
+several blocks take three steps: each block with itself; the components that this gives, by their representatives; and last those
+classes outside their group's largest component with every block.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNBLANK, blocks, components, gram_hashes, mix64, settled, text_bytes, word_hashes
+from .common import UNBLANK, blocks, gram_hashes, joined_skewed, mix64, settled, text_bytes, word_hashes
+from .forest import BLOCKS, CHUNK, Edges, batch, buckets_for, by_bucket, components, connected, cut, spread, squeeze, stars
 
 GROWTH = 1.33
 #: Classes in a block; children of a tree's node.
 BLOCK, FANOUT = 400, 16
 HASHES = "doc_id long, n long, h1 long, h2 long, bits binary"
 #: Keys that are combined at a time before they are dealt out.
-COMBINE = 2_000_000
-#: Rows of a key that are refined together; the rows of larger keys stay together as they are.
-KEY_ROWS = 20_000
+COMBINE = 1_000_000
+#: Classes of a key that are refined together; those beyond, within a combined part or in all, are tied to the key's first as they are
+#: (which loses no link: groups may hold more than what links).
+TIE, KEY_ROWS = 1_000, 20_000
+PAIRS = "kind int, n long, blob binary"
+MEET = "bucket int, kind int, c long, n long, bits binary, blob binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -106,15 +111,21 @@ def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps of several widths, all folded to the least."""
-    least = min(len(m) for m in maps)
+def folded(maps: list[bytes], least: int | None = None) -> np.ndarray:
+    """Bitmaps of several widths, all folded to `least` bytes, by default to the least width of all."""
+    least = least or min(len(m) for m in maps)
     return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0) for m in maps])
 
 
-def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
+def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     data, offsets = text_bytes(column)
-    return [s for i, j in blocks(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
+    for i, j in blocks(offsets):
+        yield from shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+
+
+def names_of(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set. The first also names its class on the way to candidates."""
+    return tuple(int(mix64(tokens ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (0x1234567, 0x89ABCDEF))
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
@@ -122,94 +133,91 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = sets_of(b.column(1), width)
-            bits = [bitmap(s, 1 << min(14, max(8, (2 * len(s)).bit_length()))).tobytes() for s in sets]
-            sums = np.array([[(mix64(s ^ np.uint64(k)).sum(dtype=np.uint64)) for k in (0x1234567, 0x89ABCDEF)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "bits"])
+            rows = []
+            for doc, s in zip(b.column(0).to_pylist(), sets_of(b.column(1), width), strict=True):
+                rows.append((doc, len(s), *names_of(s), bitmap(s, 1 << min(14, max(8, (2 * len(s)).bit_length()))).tobytes()))
+            yield batch(HASHES, rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, HASHES)
 
 
-def first_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (key, id) pairs in order, and for each its key's least id."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+def distinct(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, owner) pairs in order; for each the number of its key's pairs, its rank among them, and its key's least owner."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[new], ids[new]
-    head = np.zeros(len(keys), np.int64)
-    head[1:] = np.where(keys[1:] != keys[:-1], np.arange(1, len(keys)), 0)
-    return keys, ids, ids[np.maximum.accumulate(head)] if len(ids) else ids
+    new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    keys, owners = keys[new], owners[new]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(keys)))
+    first = np.repeat(head, count)
+    return keys, owners, np.repeat(count, count), np.arange(len(keys)) - first, owners[first]
 
 
 def shared_keys(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """(key, doc_id, m) for each key of several documents and each of them but the least, which is m. docs: doc_id long, text.
+    """PAIRS of docs (doc_id long, text): blocks of (key, class) for each key of several classes (kind 0), and of ties (kind 1).
 
-    A map task keeps each key's least document and passes the others on at once, with a m that is one of the key's documents; so a
-    key that a third of all documents share is a row for each task where keys meet. Keys travel packed, a block for each bucket.
+    Rows of one class that a map task combines are one. A key that very many classes share goes on with TIE of them from each
+    combined part, and with KEY_ROWS in all; the others are tied to its least. Keys travel packed, a block for each bucket.
     """
 
     def deal(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        seen: set[tuple] = set()
+        size, ties = 0, Edges()
 
         def flush():
-            keys, ids, least = first_of(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
-            late = ids != least
-            bucket = (mix64(keys) >> np.uint64(32)).astype(np.int64) % buckets
-            order = np.argsort(bucket[~late], kind="stable")
-            own, key, doc = bucket[~late][order], keys[~late][order], ids[~late][order]
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
-            codec = pa.Codec("zstd", 1)
-            blobs = [(int(own[i]), j - i, codec.compress(key[i:j].tobytes() + doc[i:j].tobytes(), asbytes=True)) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
-            for kind, columns in ((0, ([x[0] for x in blobs], [x[1] for x in blobs], [x[2] for x in blobs])), (1, None)):
-                if kind:
-                    extra = np.stack([keys[late].view(np.int64), ids[late], least[late]], axis=1)
-                    cuts = range(0, len(extra), 50_000)
-                    columns = ([(int(k) // 50_000) % buckets for k in cuts], [len(extra[k : k + 50_000]) for k in cuts], [codec.compress(np.ascontiguousarray(extra[k : k + 50_000]).tobytes(), asbytes=True) for k in cuts])
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([kind] * len(columns[0]), pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["bucket", "kind", "n", "blob"])
-
+            keys, owners, _, rank, least = distinct(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            late = rank >= TIE
+            ties.add(owners[late], least[late])
+            keys, owners = keys[~late], owners[~late]
+            bucket = (mix64(keys.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
+            return [(int(bucket[at[0]]), 0, len(at), squeeze(keys[at], owners[at])) for at in cut(bucket)]
+
+        kind = "bucket int, kind int, n long, blob binary"
         for b in batches:
-            ids = np.asarray(b.column(0))
-            for doc, tokens in zip(ids, sets_of(b.column(1), width), strict=True):
-                keys = part_keys(tokens, percent)
-                held.append((keys, np.full(len(keys), doc)))
+            for tokens in sets_of(b.column(0), width):
+                name = (len(tokens), *names_of(tokens))
+                if not len(tokens) or name in seen:
+                    continue
+                seen.add(name)
+                keys = part_keys(tokens, percent).view(np.int64)
+                held.append((keys, np.full(len(keys), name[1])))
                 size += len(keys)
                 if size >= COMBINE:
-                    yield from flush()
+                    yield batch(kind, flush())
                     held, size = [], 0
+                    seen.clear()
         if held:
-            yield from flush()
+            yield batch(kind, flush())
+        yield batch(kind, [(k % buckets, 1, n, blob) for k, (n, blob) in enumerate(ties.rows())])
 
     def meet(batches):
-        codec = pa.Codec("zstd")
-        now, held = None, []
-
-        def out(keys, ids, least):
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (keys, ids, least)], ["key", "doc_id", "m"])
+        now, held, ties = None, [], Edges()
 
         def solve():
-            keys, ids, least = first_of(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
-            late = ids != least
-            return out(keys[late], ids[late], least[late])
+            keys, owners, count, rank, least = distinct(*np.concatenate(held, axis=1))
+            late = rank >= KEY_ROWS
+            ties.add(owners[late], least[late])
+            keys, owners = keys[(count > 1) & ~late], owners[(count > 1) & ~late]
+            return batch(PAIRS, [(0, len(keys[k : k + CHUNK]), squeeze(keys[k : k + CHUNK], owners[k : k + CHUNK])) for k in range(0, len(keys), CHUNK)])
 
         for b in batches:
-            for bucket, kind, n, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for bucket, kind, n, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind:
-                    rows = np.frombuffer(codec.decompress(blob, 24 * n, asbytes=True), np.int64).reshape(-1, 3)
-                    yield out(rows[:, 0], rows[:, 1], rows[:, 2])
+                    ties.add(*spread(blob, n))
                     continue
                 if bucket != now:
                     if held:
                         yield solve()
                     now, held = bucket, []
-                raw = codec.decompress(blob, 16 * n, asbytes=True)
-                held.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n)))
+                held.append(spread(blob, n))
         if held:
             yield solve()
+        yield batch(PAIRS, [(1, n, blob) for n, blob in ties.rows()])
 
-    packed = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, kind int, n long, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, doc_id long, m long")
+    packed = docs.select("text").mapInArrow(deal, "bucket int, kind int, n long, blob binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, PAIRS)
 
 
 class Forest:
@@ -315,7 +323,7 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     def solve(part: pa.Table) -> list[tuple[int, int]]:
         cls, side = (np.asarray(part.column(k)) for k in ("cls", "side"))
-        sets = sets_of(part.column("text"), width)
+        sets = list(sets_of(part.column("text"), width))
         first: dict[int, int] = {}
         order = np.argsort(cls, kind="stable")  # so that a root has the least class
         cls, side, sets = cls[order], side[order], [sets[k] for k in order]
@@ -348,42 +356,114 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def refined(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between the documents of each key (key long, doc_id long, n long, bits binary) that may link by their bitmaps: equal
-    components, each as a star. The rows of a key beyond KEY_ROWS are tied to its first without a test."""
-
-    def solve(ids: list[int], sizes: list[int], maps: list[bytes]) -> list[tuple[int, int]]:
-        order = np.argsort(np.array(ids), kind="stable")
-        ids_ = np.array(ids)[order]
-        forest = Forest(np.arange(len(ids_)))
-        tree = Tree(np.arange(len(ids_)), np.array(sizes)[order], folded([maps[k] for k in order]))
-        for _ in link(tree, tree, forest, percent, lambda a, b: True):
-            pass
-        return [(int(ids_[k]), int(ids_[root])) for k in range(len(ids_)) if (root := forest.find(k)) != k]
+def may_link(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which owners (places in sizes and maps) may link, as stars of places: those of one key of which no bound of their bitmaps says that they don't.
+    A size below 0 says that an owner's bitmap isn't known: it may link with all."""
+    order = np.argsort(keys, kind="stable")
+    head = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    groups = {}
+    for at in np.split(owner[order], head[1:]):
+        at = np.sort(at)
+        groups[at.tobytes()] = at  # keys of the same owners count once
+    # groups no larger than a tree's leaf: their different pairs, tested at once
+    one, two = [], []
+    few = [at for at in groups.values() if len(at) <= FANOUT]
+    for m in {len(at) for at in few}:
+        every = np.stack([at for at in few if len(at) == m])
+        i, j = np.triu_indices(m, 1)
+        one.append(every[:, i].ravel())
+        two.append(every[:, j].ravel())
+    pairs = np.unique(np.concatenate(one) * len(sizes) + np.concatenate(two)) if one else np.zeros(0, np.int64)
+    one, two = pairs // len(sizes), pairs % len(sizes)
+    width = np.array([len(m) for m in maps])
+    keep = (sizes[one] < 0) | (sizes[two] < 0)
+    lows = np.minimum(width[one], width[two])
+    for w in np.unique(lows):
+        at = np.flatnonzero((lows == w) & ~keep)
+        mine, place = np.unique(np.concatenate([one[at], two[at]]), return_inverse=True)
+        if not len(at):
+            continue
+        level = np.ascontiguousarray(folded([maps[k] for k in mine], w)).view(np.uint64)
+        level = (level, level, sizes[mine], sizes[mine])
+        for k in range(0, len(at), 50_000):
+            part = slice(k, min(k + 50_000, len(at)))
+            keep[at[part]] = possible(level, place[: len(at)][part], level, place[len(at) :][part], percent)
+    node, root = stars(one[keep], two[keep])
+    up = np.arange(len(sizes))
+    up[node] = root
+    forest = Forest(up)
+    for at in sorted((g for g in groups.values() if len(g) > FANOUT), key=len):
+        roots = {forest.find(int(k)) for k in at}
+        if len(roots) > 1 and (sizes[at] < 0).any():
+            for k in at[1:]:
+                forest.union(int(at[0]), int(k))
+        elif len(roots) > 1:
+            tree = Tree(at, sizes[at], folded([maps[k] for k in at]))
+            for _ in link(tree, tree, forest, percent, lambda a, b: True):
+                pass
+    root = np.array([forest.find(k) for k in range(len(sizes))])
+    node = np.flatnonzero(root != np.arange(len(sizes)))
+    return node, root[node]
+
+
+def refined(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """BLOCKS of ties between the classes of each key that may link by their bitmaps: equal components, each as stars.
+
+    shared: PAIRS; classes: (h1, n, bits). Pairs first go to their classes, whose bitmaps then go with them to their keys, once for each
+    bucket of classes and of keys. Classes of one name (there is one in 2 ** 64) count as if their bitmaps weren't known.
+    """
+    pairs = shared.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    buckets = buckets_for(shared, max(pairs, classes.count()), 25_000, 1_000_000)
 
-    def run(batches):
-        now, held, crowd = None, ([], [], []), None
+    def split(batches):
         for b in batches:
-            out = []
-            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if row[0] != now:
-                    if len(held[0]) > 1:
-                        out += solve(*held)
-                    now, held, crowd = row[0], ([], [], []), None
-                if crowd is not None:
-                    out.append((max(row[1], crowd), min(row[1], crowd)))
-                    continue
-                for cell, part in zip(row[1:], held, strict=True):
-                    part.append(cell)
-                if len(held[0]) > KEY_ROWS:
-                    crowd = min(held[0])
-                    out += [(x, crowd) for x in held[0] if x != crowd]
-                    held = ([], [], [])
-            yield _edges(out)
-        if len(held[0]) > 1:
-            yield _edges(solve(*held))
-
-    return rows.select("key", "doc_id", "n", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+            rows = []
+            for n, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys, owners = spread(blob, n)
+                home = owners % buckets
+                rows += [(int(home[at[0]]), 0, None, len(at), None, squeeze(keys[at], owners[at])) for at in cut(home)]
+            yield batch(MEET, rows)
+
+    def attach(bucket, rows):
+        asked = [spread(r[5], r[3]) for r in rows if r[1] == 0]
+        if not asked:
+            return
+        keys, owners = np.concatenate(asked, axis=1)
+        known: dict[int, tuple[int, bytes]] = {}
+        for _, kind, c, n, bits, _ in rows:
+            if kind == 1:
+                known[c] = (-1 if c in known else n, bits)
+        home = ((mix64(keys.view(np.uint64)) >> np.uint64(9)) % np.uint64(buckets)).astype(np.int64)
+        for at in cut(home):
+            own, where = np.unique(owners[at], return_inverse=True)
+            maps = [known[c][1] for c in own.tolist()]
+            head = squeeze(np.array([len(at), len(own)]), keys[at], where, own, np.array([known[c][0] for c in own.tolist()]), np.array([len(m) for m in maps]))
+            yield int(home[at[0]]), 0, None, 2 + 2 * len(at) + 3 * len(own), pa.Codec("zstd", 1).compress(b"".join(maps), asbytes=True), head
+
+    def solve(bucket, rows):
+        keys, owners, names, sizes, maps = [], [], [], [], []
+        base = 0
+        for _, _, _, n, bits, head in rows:
+            flat = spread(head, n, 1)[0]
+            a, c = int(flat[0]), int(flat[1])
+            keys.append(flat[2 : 2 + a])
+            owners.append(flat[2 + a : 2 + 2 * a] + base)
+            own, size, length = flat[2 + 2 * a :].reshape(3, c)
+            names.append(own)
+            sizes.append(size)
+            raw = pa.Codec("zstd").decompress(bits, int(length.sum()), asbytes=True)
+            ends = np.cumsum(length)
+            maps += [raw[e - k : e] for e, k in zip(ends.tolist(), length.tolist(), strict=True)]
+            base += c
+        names = np.concatenate(names)  # a class comes from one bucket only, so its name stands here once
+        node, root = may_link(np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes), maps, percent)
+        edges = Edges()
+        edges.add(names[node], names[root])
+        return edges.rows()
+
+    asked = shared.where("kind = 0").select("n", "blob").mapInArrow(split, MEET)
+    known = classes.select(F.pmod("h1", F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"), F.col("h1").alias("c"), "n", "bits", F.lit(None).cast("binary").alias("blob"))
+    return by_bucket(by_bucket(asked.union(known), buckets, attach, MEET), buckets, solve, BLOCKS)
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -401,43 +481,34 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     every = settled(described(ids, width), "shingles")
     sets = every.where("doc_id is not null and n > 0")
-    classes = sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = sets.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "n", "rep")
-    copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    classes = settled(sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")), "classes")
 
-    # candidate groups of classes that share a key; the copies within them count as their class
+    # candidate groups of classes
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = settled(shared_keys(ids.where("doc_id is not null"), width, percent, buckets), "keys")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    grouped = settled(_sized(_only(components(shared.select(F.col("doc_id").alias("a"), F.col("m").alias("b"))), reps), block), "groups")
-    wide = grouped.where("nblocks > 1")
-    if not wide.isEmpty():
-        pairs = shared.select("key", "doc_id").union(shared.select("key", "m")).distinct().join(wide.select("doc_id"), "doc_id")
-        rows = pairs.join(sets.select("doc_id", "n", "bits").distinct(), "doc_id")
-        closer = components(refined(rows, percent))
-        grouped = grouped.where("nblocks = 1").union(_sized(_only(closer, reps), block))
-    placed = grouped.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("nblocks")).cast("int"))
+    ties = settled(refined(shared, classes, percent).union(shared.where("kind = 1").select("n", "blob")), "ties")
+    found = settled(connected(ties), "groups")
+    nodes = found.union(found.select(F.col("root").alias("node"), "root").distinct())
+    placed = classes.select("rep", "h1").join(nodes, F.col("h1") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("root").alias("grp")).distinct()
+    grouped = _sized(placed, block).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("nblocks")).cast("int"))
     # merged whatever the sizes: the groups grow with the documents
-    texts = settled(ids.hint("merge").join(placed, "doc_id"), "candidates")
+    texts = settled(ids.hint("merge").join(grouped, "doc_id"), "candidates")
 
     own = texts.select(F.xxhash64("grp", "block").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("cls"), "text")
     found = settled(linked(own, width, percent), "links")
     wide = texts.where("nblocks > 1")
     if not wide.isEmpty():
-        found = _across(wide, found, width, percent, block)
-    copies = members.select("doc_id", "rep").distinct()
-    roots = copies.join(found, F.col("rep") == F.col("a"), "left").select("doc_id", F.coalesce("b", "rep").alias("root"))
-    several = copies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = settled(_across(wide, found, width, percent, block), "links")
+    # classes of one representative (an id with several sets) meet below
+    roots = classes.join(found, F.col("rep") == F.col("a"), "left").select("n", "h1", "h2", F.coalesce("b", "rep").alias("root"), "copies")
+    out = joined_skewed(sets.select("doc_id", "n", "h1", "h2"), settled(roots, "roots"), ["n", "h1", "h2"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "root")
+    ends = [F.min(c) != F.max(c) for c in ("n", "h1", "h2")]
+    several = sets.groupBy("doc_id").agg((ends[0] | ends[1] | ends[2]).alias("several")).where("several")
     if not several.isEmpty():  # an id with several sets joins their components
-        both = components(roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-        roots = both.select(F.col("node").alias("doc_id"), "root")
-    return every.select("doc_id", F.col("n").alias("n_shingles")).join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-
-
-def _only(groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """(doc_id, grp) of the representatives in components (node, root)."""
-    nodes = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp"))
-    return nodes.union(groups.select(F.col("root").alias("doc_id"), F.col("root").alias("grp")).distinct()).join(reps, "doc_id", "left_semi")
+        both = components(out.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("to"))
+        out = out.join(both, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("to", "doc_id").alias("root"))
+    rest = every.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.withColumnRenamed("root", "component_id").union(rest)
 
 
 def _sized(nodes: DataFrame, block: int) -> DataFrame:

@@ -87,12 +87,34 @@ def test_linked_sets_share_a_key():
                     assert len(np.intersect1d(ngramjoin.part_keys(a, percent), ngramjoin.part_keys(b, percent)))
 
 
-def test_keys_of_many_rows_stay_together(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "KEY_ROWS", 2)
-    rows = [(7, k, 10, bytes([1 << (k % 8)]) * 32) for k in range(9)] + [(8, 20, 10, b"\x0f" * 32), (8, 21, 10, b"\x0f" * 32)]
-    frame = spark.createDataFrame([(k, d, n, bytearray(b)) for k, d, n, b in rows], "key long, doc_id long, n long, bits binary").coalesce(1)
-    got = {(r.a, r.b) for r in ngramjoin.refined(frame, 80).collect()}
-    assert (21, 20) in got
+def test_classes_beyond_the_limits_of_a_key_are_tied(spark, monkeypatch):
+    rows = corpus(7, 120, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("TIE", 1), ("KEY_ROWS", 2), ("FANOUT", 3), ("COMBINE", 500)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    assert sorted(tuple(r) for r in ngramjoin.join(docs, 3, 80, 7).collect()) == plain(rows, 3, 80)
+
+
+def test_classes_of_a_key_that_may_link_stay_together():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(80):
+        s = sets[rng.integers(len(sets))].copy() if sets and rng.random() < 0.7 else rng.integers(0, 2**63, rng.integers(20, 300)).astype(np.uint64)
+        s[rng.integers(0, len(s), 3)] = rng.integers(0, 2**63, 3)
+        sets.append(np.unique(s))
+    maps = [ngramjoin.bitmap(s, 1 << max(8, (2 * len(s)).bit_length())).tobytes() for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    keys, owner = np.repeat(np.arange(6), 80), np.tile(np.arange(80), 6)
+    drawn = (rng.random(480) < np.repeat([1, 0.5, 0.1, 0.05, 0.1, 0.02], 80)) | (keys == 0)
+    for which in (drawn, drawn & (keys > 1)):
+        node, root = ngramjoin.may_link(keys[which], owner[which], sizes, maps, 80)
+        up = dict(zip(node, root, strict=True))
+        for k in range(6):
+            for a, b in itertools.combinations(owner[which & (keys == k)], 2):
+                shared = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                    assert up.get(a, a) == up.get(b, b)
+    assert len(up) < 80 - 1
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):

@@ -5,7 +5,6 @@ import random
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm.common import components
 
 
 @pytest.fixture(scope="module")
@@ -51,20 +50,3 @@ def test_stages(spark, folder):
     alone = corpus_pipeline.near_duplicate_stage(spark, steps["documents"], home)
     left = {r.doc_id for r in alone.select("doc_id").collect()}
     assert [i for i in ids["documents"] if i not in left] == [*range(300, 310), *range(330, 340)]
-
-
-def test_components_against_plain_union(spark):
-    rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 540)]
-    up = {}
-
-    def find(x):
-        while up.setdefault(x, x) != x:
-            x = up[x]
-        return x
-
-    for a, b in edges:
-        x, y = sorted((find(a), find(b)))
-        up[y] = x
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in up if find(x) != x}
