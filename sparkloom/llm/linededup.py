@@ -3,12 +3,12 @@
 State, by key (128 hash bits of a normalised line):
 - `refs`: the exact table, a row for each key: in how many documents it stands, and the smallest document that holds it.
 - `postings`: (key, document), from which a deletion finds the next smallest document of a key.
-- `filters`: a cuckoo filter for each shard of the keys. It holds every key of `refs`.
+- `filters`: a cuckoo filter for each shard of the keys. It holds a mark for every key of `refs`.
 
 An insertion counts the new documents' keys first (combined before the shuffle, so a line in a third of all documents is one
 row for each task). Each shard's filter is then asked for each new key: a miss proves the key new, and its counts are final; only
-hits are looked up in the exact table. A deletion takes counts back, and keys at zero leave both the table and the filter: the filters of their
-shards are built again from the exact table.
+hits are looked up in the exact table. What the lookup shows to be new all the same gets its mark like the misses, so each key
+has one of its own. A deletion takes counts back, and keys at zero leave both the table and the filter.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, settled, unused
+from .common import joined_skewed, mix64, settled, unused
 
 #: Fixed values of the key: the blanks that are stripped, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -108,15 +108,25 @@ class Cuckoo:
 
         A mark that stands in several parts may be another key's in all but one of them, so it stays: no key left is lost.
         """
-        for key in np.asarray(keys):
-            hits = []
-            for part in self.parts:
-                mark, one, two = self._places(part, np.array([key]))
-                hit = next(((int(b), int(s)) for b in (one[0], two[0]) for s in np.flatnonzero(part[b] == mark[0])), None)
-                if hit:
-                    hits.append((part, hit))
-            if len(hits) == 1:
-                hits[0][0][hits[0][1]] = 0
+        parts = np.zeros(len(keys), np.int64)
+        for part in self.parts:
+            parts += self._slots(part, keys)[1]
+        keys = keys[parts == 1]
+        for part in self.parts:
+            left = keys[self._slots(part, keys)[1]]
+            while len(left):  # keys of the same mark and buckets take a slot each, one after another
+                slot, hit = self._slots(part, left)
+                taken, first = np.unique(slot[hit], return_index=True)
+                part.reshape(-1)[taken] = 0
+                left = np.delete(left[hit], first)
+
+    def _slots(self, part: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first slot of a part that holds each key's mark, and whether there is one."""
+        mark, one, two = self._places(part, keys)
+        slots = np.concatenate([one[:, None] * self.SLOTS + np.arange(self.SLOTS), two[:, None] * self.SLOTS + np.arange(self.SLOTS)], axis=1)
+        same = part.reshape(-1)[slots] == mark[:, None]
+        at = same.argmax(axis=1)
+        return slots[np.arange(len(keys)), at], same.any(axis=1)
 
     def dump(self) -> bytes:
         sizes = np.array([len(self.parts), *(len(p) for p in self.parts)], np.int64)
@@ -144,11 +154,18 @@ def line_key(line):
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
+def number(docs: DataFrame):
+    """The document of a row, and a mark of its text that tells rows of one document apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def keyed(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(h1, h2, did, line): a row for each line whose key has `least` code points or more; line counts from 0."""
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
-    keys = lines.select("did", "line", line_key(F.col("raw")).alias("key")).where(F.length("key") >= least)
-    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "did", "line")
+    """(h1, h2, did, tie, line): a row for each line whose key has `least` code points or more; line counts from 0 in the row of the
+    document did whose text has the mark tie."""
+    did, tie = number(docs)
+    lines = docs.select(did.alias("did"), tie.alias("tie"), F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
+    keys = lines.select("did", "tie", "line", line_key(F.col("raw")).alias("key")).where(F.length("key") >= least)
+    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "did", "tie", "line")
 
 
 @dataclass
@@ -157,9 +174,10 @@ class LineIndex:
 
     refs: DataFrame  # h1, h2, docs, owner
     filters: DataFrame  # shard, filter
-    postings: DataFrame  # h1, h2, did
+    postings: DataFrame  # h1, h2, did; a pair may be there more than once
     shards: int
     least: int
+    asked: DataFrame | None = None  # the last insertion's keys, with `known`: whether they had to be looked up
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int, least: int = 10) -> LineIndex:
@@ -174,89 +192,81 @@ class LineIndex:
     def _shard(self):
         return F.pmod(F.col("h1"), F.lit(self.shards)).cast("int")
 
-    def _asked(self, delta: DataFrame) -> DataFrame:
-        """delta (a row for each key) with `known`: false where the shard's filter proves the key new. First the filters, then the keys."""
-        filters = self.filters.select("shard", F.lit(0).alias("turn"), "filter", *(F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "docs", "owner")))
-        rows = delta.select(self._shard().alias("shard"), F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("filter"), "h1", "h2", "docs", "owner")
-        dealt = filters.union(rows).repartition("shard").sortWithinPartitions("shard", "turn")
+    def _through(self, rows: DataFrame, work, kind: str) -> DataFrame:
+        """work(filter, keys, batch) for each batch of a shard's rows (h1 and other long columns), whose filter it may change; the
+        batches that it gives, and at a shard's end those of work(filter, None, shard)."""
+        names = rows.columns
+        filters = self.filters.select("shard", F.lit(0).alias("turn"), "filter", *(F.lit(0).cast("long").alias(c) for c in names))
+        asked = rows.select(self._shard().alias("shard"), F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("filter"), *names)
+        dealt = filters.union(asked).repartition("shard").sortWithinPartitions("shard", "turn")
+        at = 3 + names.index("h1")
 
         def run(batches):
-            own: dict[int, Cuckoo] = {}
+            now, own = None, Cuckoo()
             for b in batches:
                 shard, turn = (np.asarray(b.column(k)) for k in (0, 1))
-                h1 = np.asarray(b.column(3))
-                known = np.zeros(b.num_rows, bool)
-                for s in np.unique(shard):  # sorted: one shard after another, each with its filter first
-                    stored = np.flatnonzero((shard == s) & (turn == 0))
-                    mine = np.flatnonzero((shard == s) & (turn == 1))
-                    if len(stored):
-                        own = {int(s): Cuckoo.load(b.column(2)[int(stored[0])].as_py())}
-                    elif int(s) not in own:
-                        own = {int(s): Cuckoo()}
-                    fresh = own[int(s)]
-                    known[mine] = fresh.has(h1[mine].view(np.uint64))
-                    fresh.insert(h1[mine][~known[mine]].view(np.uint64))
-                new = pa.RecordBatch.from_arrays([*(b.column(k) for k in (3, 4, 5, 6)), pa.array(known)], ["h1", "h2", "docs", "owner", "known"])
-                yield new.filter(pa.array(turn == 1))
-
-        return dealt.mapInArrow(run, "h1 long, h2 long, docs long, owner long, known boolean")
-
-    def counted(self, docs: DataFrame) -> DataFrame:
-        """Keys of docs with the documents that hold them and the smallest of those."""
-        single = keyed(docs, self.least).groupBy("h1", "h2", "did").agg(F.count(F.lit(1)).alias("n"))
-        return single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("owner"))
-
-    def admitted(self, delta: DataFrame) -> DataFrame:
-        """refs after the insertion of delta: keys that the filters don't know as they are, the others with the exact table's counts."""
-        asked = self._asked(delta)
-        # one pass over delta: the exact table meets only keys that the filter let through
-        old = self.refs.select("h1", "h2", F.col("docs").alias("docs0"), F.col("owner").alias("owner0"))
-        both = asked.where("known").join(old, ["h1", "h2"], "full_outer")
-        summed = both.select("h1", "h2", (F.coalesce("docs", F.lit(0)) + F.coalesce("docs0", F.lit(0))).alias("docs"), F.least("owner", "owner0").alias("owner"))
-        return asked.where("not known").select("h1", "h2", "docs", "owner").union(summed)
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), b.num_rows] if b.num_rows else []
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if shard[i] != now:
+                        if now is not None and (out := work(own, None, now)) is not None:
+                            yield out
+                        now, own = int(shard[i]), Cuckoo()
+                    for k in np.flatnonzero(turn[i:j] == 0):
+                        own = Cuckoo.load(b.column(2)[int(i + k)].as_py())
+                    part = b.slice(i, j - i).filter(pa.array(turn[i:j] == 1))
+                    if part.num_rows and (out := work(own, np.asarray(part.column(at)).view(np.uint64), part)) is not None:
+                        yield out
+            if now is not None and (out := work(own, None, now)) is not None:
+                yield out
+
+        return dealt.mapInArrow(run, kind)
+
+    def _asked(self, delta: DataFrame) -> DataFrame:
+        """delta (a row for each key) with `known`: false where the shard's filter proves the key new."""
+
+        def work(own, keys, part):
+            if keys is not None:
+                return pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(own.has(keys))], ["h1", "h2", "docs", "owner", "known"])
+
+        return self._through(delta.select("h1", "h2", "docs", "owner"), work, "h1 long, h2 long, docs long, owner long, known boolean")
+
+    def _marked(self, keys: DataFrame, gone: bool = False) -> DataFrame:
+        """The filters with the keys' marks, or, if they are gone, without."""
+
+        def work(own, keys, part):
+            if keys is None:
+                return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.dump()], pa.binary())], ["shard", "filter"])
+            (own.delete if gone else own.insert)(keys)
+
+        return self._through(keys.select("h1"), work, "shard int, filter binary")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The state after adding docs (doc_id, text), none of whose ids may be in it yet."""
-        rows = settled(keyed(docs, self.least).select("h1", "h2", "did").distinct(), "postings")
-        delta = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("owner"))
-        refs = settled(self.admitted(delta), "refs")
-        return LineIndex(refs, settled(self._built(refs), "filters"), self.postings.union(rows), self.shards, self.least)
+        return self.insert_lines(settled(keyed(docs, self.least), "lines"))
+
+    def insert_lines(self, lines: DataFrame) -> LineIndex:
+        """As insert, from the documents' `keyed` lines (settled: they are read again)."""
+        rows = lines.select("h1", "h2", "did")
+        delta = rows.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("owner"))
+        asked = settled(self._asked(delta), "asked")
+        # the exact table meets only keys that the filters let through
+        old = self.refs.select("h1", "h2", F.col("docs").alias("docs0"), F.col("owner").alias("owner0"))
+        both = asked.where("known").drop("known").join(old, ["h1", "h2"], "full_outer")
+        summed = both.select("h1", "h2", (F.coalesce("docs", F.lit(0)) + F.coalesce("docs0", F.lit(0))).alias("docs"), F.least("owner", "owner0").alias("owner"), F.col("docs0").isNull().alias("fresh"))
+        refs = settled(asked.where("not known").select("h1", "h2", "docs", "owner", F.lit(True).alias("fresh")).union(summed), "refs")
+        filters = settled(self._marked(refs.where("fresh")), "filters")
+        return LineIndex(refs.drop("fresh"), filters, self.postings.union(rows), self.shards, self.least, asked)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The state after taking out the documents of ids (doc_id); ids that it doesn't hold change nothing."""
         gone = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did")).distinct()
         lost = self.postings.join(gone, "did", "left_semi")
-        kept = settled(self.postings.join(gone, "did", "left_anti"), "postings")
-        touched = lost.select("h1", "h2").distinct()
-        again = kept.join(touched, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("owner"))
+        kept = settled(self.postings.join(gone, "did", "left_anti").select("h1", "h2", "did").distinct(), "postings")
+        touched = settled(lost.select("h1", "h2").distinct(), "touched")
+        again = settled(kept.join(touched, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min("did").alias("owner")), "again")
         refs = settled(self.refs.join(touched, ["h1", "h2"], "left_anti").union(again), "refs")
         dead = touched.join(again, ["h1", "h2"], "left_anti")
-        return LineIndex(refs, settled(self._rebuilt(refs, dead), "filters"), kept, self.shards, self.least)
-
-    def _built(self, refs: DataFrame) -> DataFrame:
-        """A filter for each shard over the table's keys."""
-        rows = refs.select(self._shard().alias("shard"), "h1").repartition("shard").sortWithinPartitions("shard")
-
-        def run(batches):
-            now, own = None, Cuckoo()
-            for b in batches:
-                shard, h1 = (np.asarray(b.column(k)) for k in (0, 1))
-                for s in np.unique(shard):
-                    if now is not None and s != now:
-                        yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "filter": pa.array([own.dump()], pa.binary())})
-                        own = Cuckoo()
-                    now = int(s)
-                    own.insert(h1[shard == s].view(np.uint64))
-            if now is not None:
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "filter": pa.array([own.dump()], pa.binary())})
-
-        return rows.mapInArrow(run, "shard int, filter binary")
-
-    def _rebuilt(self, refs: DataFrame, dead: DataFrame) -> DataFrame:
-        """The filters, those of the dead keys' shards built again from refs."""
-        stale = dead.select(self._shard().alias("shard")).distinct()  # a row for each shard at most
-        mine = refs.withColumn("shard", self._shard()).join(stale, "shard", "left_semi")
-        return self.filters.join(stale, "shard", "left_anti").select("shard", "filter").union(self._built(mine.drop("shard")))
+        return LineIndex(refs, settled(self._marked(dead, gone=True), "filters"), kept, self.shards, self.least)
 
 
 def shards_for(spark: SparkSession) -> int:
@@ -264,28 +274,37 @@ def shards_for(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def drops(docs: DataFrame, refs: DataFrame, least: int = 10) -> DataFrame:
-    """(did, gone): for each document that loses lines, their numbers. A line goes if its key stands in two documents or more and it isn't in the smallest."""
-    shared = refs.where("docs >= 2").select("h1", "h2", "owner")
-    hit = keyed(docs, least).join(shared, ["h1", "h2"]).where("did <> owner")
-    return hit.groupBy("did").agg(F.collect_set("line").alias("gone"))  # bounded by the lines of one document id
+def drops(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """(did, tie, gone): for each row of `keyed` documents that loses lines, their numbers. A line goes if its key stands in two
+    documents or more and it isn't in the smallest."""
+    shared = refs.where("docs >= 2").select("h1", "h2", "owner", "docs")
+    hit = joined_skewed(lines, shared, ["h1", "h2"], "docs").where("did <> owner")
+    return hit.groupBy("did", "tie").agg(F.collect_set("line").alias("gone"))  # bounded by the lines of one text
 
 
-def dedup(docs: DataFrame, least: int = 10, refs: DataFrame | None = None, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 10, refs: DataFrame | None = None, names: tuple[str, str] = ("n_lines", "n_dropped"), spare: float = 1.0) -> DataFrame:
     """docs with text deduplicated by line, and the number of its lines and of those dropped in columns of these names (replacing
     columns that have them); all rows and other columns stay.
 
-    refs: the reference counts of an index that holds docs; by default those of docs, inserted into an empty index.
+    refs: the reference counts of an index that holds docs; by default those of docs, of which one half by hash is inserted into an
+    empty index, and then the other, whose lines are asked for in the filters of the first. spare: rows that would lose more than
+    this share of their code points lose nothing (they are copies rather than texts with repeated lines).
+
     Null and empty texts are one empty line, and keep their text. Rows that share an id are one document (a null id too: one
-    document after all others); each loses the lines that a smaller document holds. An empty table gives an empty result.
+    document after all others); each loses the lines that a smaller document holds. Ids must be integers or cast to long. An empty
+    table gives an empty result.
     """
+    lines = settled(keyed(docs, least), "lines")
     if refs is None:
         index = LineIndex.empty(docs.sparkSession, shards_for(docs.sparkSession), least)
-        refs = index.admitted(index.counted(docs))
+        for part in (0, 1):
+            index = index.insert_lines(lines.where(F.pmod(F.xxhash64(F.lit("part"), "did"), F.lit(2)) == part))
+        refs = index.refs
     rest = docs.drop(*names)
-    did, gone = unused(rest, "did", "gone")
-    lost = drops(docs, refs, least).withColumnsRenamed({"did": did, "gone": gone})
-    both = rest.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(lost, did, "left").select(*rest.columns, gone)
+    did, tie, gone = unused(rest, "did", "tie", "gone")
+    lost = settled(drops(lines, refs), "drops").withColumnsRenamed({"did": did, "tie": tie, "gone": gone})
+    mine = number(docs)
+    both = rest.withColumns({did: mine[0], tie: mine[1]}).join(lost, [did, tie], "left").select(*rest.columns, gone)
     at = rest.columns.index("text")
 
     def run(batches):
@@ -294,8 +313,9 @@ def dedup(docs: DataFrame, least: int = 10, refs: DataFrame | None = None, names
             for text, numbers in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 total.append(len(lines))
-                # rows that share an id share the list: its numbers count where the line is one that goes
                 kept = [x for i, x in enumerate(lines) if i not in numbers] if (numbers := set(numbers or ())) else lines
+                if numbers and sum(len(lines[i]) for i in numbers) > spare * len(text):
+                    numbers, kept = (), lines
                 fewer.append(len(lines) - len(kept))
                 out.append("\n".join(kept) if numbers else text)
             columns = [*b.columns[:-1]]
