@@ -6,7 +6,8 @@ and index vectors. A network with one hidden layer is trained on these, and a te
 calibrates its probabilities.
 
 Tokens are runs of one class of characters (upper-case, lower-case or other letters, digits, or one repeated mark) cut from the
-UTF-8 bytes and hashed into buckets, so markup or capitals in every word show as tokens of their own, known or not.
+UTF-8 bytes and hashed into buckets, so markup or capitals in every word show as tokens of their own, known or not. A run of
+over PIECE bytes (a sentence in a script without blanks, say) is cut into tokens of as many.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ CLASS[65:91] = 2
 CLASS[48:58] = 3
 BYTES = byte_table(11)
 BASE = np.uint64(0x100000001B3)
+PIECE = 24
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,16 +40,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray
     first[1:] = kind[1:] != kind[:-1]
     first[1:] &= ~((kind[1:] == 1) & (kind[:-1] == 2) & np.concatenate([[True], kind[:-2] != 2]))  # a capital begins its word
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    begin = np.flatnonzero(first)
+    at = np.arange(len(data)) - np.maximum.accumulate(np.where(first, np.arange(len(data)), 0))
+    at %= PIECE
+    begin = np.flatnonzero(at == 0)
     low = np.where(kind == 2, data + 32, data)
-    # the hash of a run: its bytes' values times powers of BASE from the run's start; runs over 24 bytes go by their first 24 and length
-    at = np.arange(len(data)) - begin[np.cumsum(first) - 1]
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(24, BASE)]), dtype=np.uint64)
-    value = BYTES[low] * powers[np.minimum(at, 24)]
-    value[at >= 24] = 0
+    # the hash of a token: its bytes' values times powers of BASE from its start
+    value = BYTES[low] * np.cumprod(np.concatenate([[np.uint64(1)], np.full(PIECE - 1, BASE)]), dtype=np.uint64)[at]
     length = np.diff(np.append(begin, len(data)))
     shout = (kind[begin] == 2) & (length > 1)
-    word = mix64(np.add.reduceat(value, begin) + np.minimum(length, 25).astype(np.uint64) * np.uint64(31))
+    word = mix64(np.add.reduceat(value, begin) + length.astype(np.uint64) * np.uint64(31))
     bucket = (word >> np.uint64(64 - bits)).astype(np.int32)
     keep = kind[begin] != 0
     # a word in capitals is two tokens: the mark of capitals (bucket 0), and the word
@@ -158,21 +159,22 @@ def train(texts: list[str], labels: list[int], bits: int = 14, dim: int = 32, wi
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` labelled rows whose crc32(doc_id) mod 5 is not 0, by the smallest hash of their id.
+    """At most `rows` labelled rows whose crc32(doc_id) mod 5 is not 0, by the smallest hash of their id, then label and text.
 
-    A document with several labels takes part with each; rows with a null id, text or label don't.
+    A document with several labels takes part with each, and so do several texts of one id; rows with a null id, text or label don't.
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.withColumn("h", F.xxhash64(F.lit("quality"), "doc_id"))
     share = min(1.0, (1.2 * rows + 100) / max(1, known.count()))  # thinned first, so that no task sends more than its share
-    picked = known.where(F.col("h").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))).orderBy("h", "doc_id", "quality").limit(rows).drop("h")
+    picked = known.where(F.col("h").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))).orderBy("h", "doc_id", "quality").limit(rows)
     # bounded by `rows`: the picked ids are broadcast, so that no text is shuffled
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
+    both = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    return both.orderBy("h", "doc_id", "quality", "text").limit(rows).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, **options) -> Model:
     """A model from at most `rows` labels (whole texts), brought to the driver."""
-    got = sorted(sample(docs, labels, rows).limit(2 * rows).collect(), key=lambda r: (r.doc_id, r.quality, r.text))
+    got = sorted(sample(docs, labels, rows).collect(), key=lambda r: (r.doc_id, r.quality, r.text))
     return train([r.text for r in got], [int(r.quality) for r in got], **options)
 
 
