@@ -115,35 +115,62 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rest.mapInArrow(run, StructType([*rest.schema.fields]).add("fingerprint", StringType()))
 
 
+def looked_up(values: list[int | None], at, none: int = -(1 << 62)):
+    """Element `at` of a list, which stands in the plan as one constant."""
+    text = ",".join(str(none if v is None else v) for v in values)
+    found = F.get(F.split(F.lit(text), ",").cast("array<long>"), at)
+    return F.when(found != none, found)
+
+
+def above(bounds: list[int], value, equal: bool = False):
+    """How many of bounds (downwards) are greater than value, or as great: by binary search."""
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+
+    def step(have, size):
+        b = F.get(listed, have + size - 1)
+        return F.when((have + size <= len(bounds)) & ((b >= value) if equal else (b > value)), have + size).otherwise(have)
+
+    return F.aggregate(steps, F.lit(0), step) if bounds else F.lit(0)
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) dealt out in ranges of doc_id, each sorted downwards and followed by the first row of the next range.
+    """docs (doc_id, text) dealt out in ranges of (doc_id, hash of text), each sorted downwards and followed by the first row of the next.
 
-    Columns: part, doc_id, text, own (false for such a following row). Ties go by text, null ids come last; the last range is
-    followed by the first row of all. The bounds are quantiles of the ids, four for each shuffle partition; rows go to ranges by
-    comparison, so a retried task meets the same ranges. Only first rows travel twice.
+    Columns: part, doc_id, text, own (false for such a following row). Rows of one id go by a hash of their text, then by text; null ids
+    come last; the last range is followed by the first row of all. The bounds are quantiles of the ids, four for each shuffle
+    partition, and an id (or the null ids) that fills several ranges is cut by the hash; rows go to ranges by comparison, so a
+    retried task meets the same ranges. Only first rows travel twice.
     """
     spark = docs.sparkSession
     wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = 4 * wanted  # several for each partition, as they are dealt by hash
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     shares = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(ids.where("doc_id is not null").select("doc_id").approxQuantile("doc_id", shares, 0.2 / ranges)))
-    bounds = [int(b) for b in reversed(bounds)]  # downwards: range k holds ids under k of the bounds
-    listed = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(listed, lambda b: b > F.col("doc_id"))))
-    dealt = ids.withColumn("part", part)
-    tops = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a row for each range
+    found = ids.where("doc_id is not null").select("doc_id").approxQuantile("doc_id", shares, 0.2 / ranges)
+    bounds = [int(b) for b in sorted(found, reverse=True)]  # downwards: an id's first range is the number of bounds above it
+    nulls, every = ids.agg(F.count(F.when(F.col("doc_id").isNull(), 1)), F.count(F.lit(1))).first()
+    spare = max(1, -(-nulls * ranges // max(1, every)))
+    unit = F.shiftrightunsigned("mark", 11) / float(1 << 53)
+    first = above(bounds, F.col("doc_id"))
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1 + F.floor(unit * spare)).otherwise(first + F.floor(unit * (above(bounds, F.col("doc_id"), True) - first + 1)))
+    dealt = ids.withColumn("part", part.cast("int"))
+    order = F.struct(F.col("doc_id"), F.bitwise_not(F.shiftrightunsigned("mark", 1)).alias("low"), F.bitwise_not("mark").alias("mark"))
+    tops = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max(order).alias("top")).collect()}  # a row for each range
     full = sorted(tops)
     if not full:
         return dealt.select("part", "doc_id", "text", F.lit(True).alias("own"))
     before = {full[k]: full[k - 1] for k in range(len(full))}  # the first range follows the last
-    top = F.get(F.array(*(F.lit(tops.get(k)).cast("long") for k in range(full[-1] + 1))), F.col("part"))
-    extra = F.when(F.col("doc_id").eqNullSafe(top), F.get(F.array(*(F.lit(before.get(k)).cast("int") for k in range(full[-1] + 1))), F.col("part")))
+    span = range(full[-1] + 1)
+    top = looked_up([tops[k]["doc_id"] if k in tops else None for k in span], F.col("part"))
+    mark = looked_up([~tops[k]["mark"] if k in tops else None for k in span], F.col("part"))
+    extra = F.when(F.col("doc_id").eqNullSafe(top) & (F.col("mark") == mark), looked_up([before.get(k) for k in span], F.col("part")).cast("int"))
     copies = F.when(extra.isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")))).otherwise(
         F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(extra.alias("part"), F.lit(False).alias("own")))
     )
-    rows = dealt.withColumn("to", F.explode(copies)).select(F.col("to.part").alias("part"), "doc_id", "text", F.col("to.own").alias("own"))
-    return rows.repartition(wanted, "part").sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+    rows = dealt.withColumn("to", F.explode(copies)).select(F.col("to.part").alias("part"), "doc_id", "mark", "text", F.col("to.own").alias("own"))
+    rows = rows.repartition(wanted, "part").sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("doc_id"), F.shiftrightunsigned("mark", 1), "mark", "text")
+    return rows.select("part", "doc_id", "text", "own")
 
 
 def edited(text: str, following: str) -> str:
@@ -155,8 +182,9 @@ def edited(text: str, following: str) -> str:
 def op3(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document's.
 
-    A null text is empty; the next document of a single row is itself; rows of one id follow each other in order of text.
-    An empty table gives an empty result.
+    A null text is empty; the next document of a single row is itself; rows of one id follow each other in order of a hash of their
+    text, then of the text. Other columns of docs are left out, whatever their names; ids must be integers or cast to long. Texts
+    are parsed whole, in memory in proportion to the longest. An empty table gives an empty result.
     """
 
     def run(batches):
