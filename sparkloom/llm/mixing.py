@@ -1,60 +1,32 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows are cut into blocks. Block j (from 0) of a source with weight w is released at slot floor(j / w) and due
-by slot ceil((j + 1) / w); of the released blocks the one with the earliest deadline gets the slot. Then, at every slot, no
-source is a whole block away from its share.
-
-Weights are taken as they are, in whole numbers of any size. Where they are whole shares of a short period, the schedule repeats:
-one period is scheduled by the driver, and block j's slot follows in closed form. Other weights have no short period, and the
-driver schedules every block (one step for block_rows rows). When a source runs out, the others go on with their weights scaled
-up, in a new phase; there are as many phases as sources. No row is dropped or repeated.
+Each source's rows are cut into blocks. Block j (from 0) of a source with weight w (its share of the weights' sum) is released at slot
+floor(j / w) and due by slot ceil((j + 1) / w); of the released blocks the one with the earliest deadline gets the slot. Then, at
+every slot, no source is a whole block away from its share. Weights are taken as they are, in whole numbers of any size.
+
+When a source runs out, the others go on with their weights scaled up, in a new phase, in which shares count from its first slot. The
+driver schedules block by block: at most MOST_BLOCKS and one for each source, as a larger table has larger blocks. No row is
+dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from .common import unused
 
 #: A null source is a source of its own under this name.
 NULL_SOURCE = "\x00null"
-
-
-def shares(weights: dict[str, float], period: int = 1000) -> tuple[dict[str, int], int]:
-    """Whole shares of a period by largest remainder, at least 1 each; ties go by name."""
-    total = sum(weights.values())
-    period = max(period, 4 * len(weights))
-    exact = {k: w / total * period for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(weights, key=lambda k: (out[k] - exact[k], k))
-    i = 0
-    while sum(out.values()) < period:
-        out[order[i % len(order)]] += 1
-        i += 1
-    return out, sum(out.values())
-
-
-def period_slots(parts: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of one period for each source, by earliest deadline among the released blocks; ties go by name."""
-    out: dict[str, list[int]] = {k: [] for k in parts}
-    waiting = [(0, k, 0) for k in sorted(parts)]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // parts[k]), k, j))
-        due, k, j = heapq.heappop(ready)
-        assert due > slot, "a deadline was missed"
-        out[k].append(slot)
-        if j + 1 < parts[k]:
-            heapq.heappush(waiting, ((j + 1) * period // parts[k], k, j + 1))
-    return out
+#: Blocks that the driver schedules, but for one of each source. A table of over MOST_BLOCKS * block_rows rows has larger blocks.
+MOST_BLOCKS = 500_000
 
 
 def whole(weights: dict[str, float]) -> dict[str, int]:
@@ -64,51 +36,31 @@ def whole(weights: dict[str, float]) -> dict[str, int]:
     return {k: int(x * scale) for k, x in exact.items()}
 
 
-def phase_slots(left: dict[str, int], parts: dict[str, int]) -> dict[str, list[int]]:
-    """As period_slots, for weights without a short period: slots of each source's blocks until one source has no more of them."""
-    out: dict[str, list[int]] = {k: [] for k in parts}
-    total, slot = sum(parts.values()), 0
-    waiting = [(0, k, 0) for k in sorted(parts)]  # release, source, block
-    ready: list[tuple[int, str, int]] = []
-    while True:
-        while waiting and waiting[0][0] <= slot:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // parts[k]), k, j))
-        due, k, j = heapq.heappop(ready)
-        assert due > slot, "a deadline was missed"
-        out[k].append(slot)
-        if j + 1 == left[k]:
-            return out
-        heapq.heappush(waiting, ((j + 1) * total // parts[k], k, j + 1))
-        slot += 1
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = 1000) -> list[dict]:
-    """One entry for each phase: first slot, period, and for each source its first block, end block and slots in the period.
-
-    A phase whose weights aren't whole shares of the period is one period as long as itself."""
-    left, done, start, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, first slot of its phase) for each slot: the released block of the earliest deadline, the source first in order at a tie."""
+    parts = whole(weights)
+    left = {k: n for k, n in sorted(blocks.items()) if n}
+    total, start = sum(parts[k] for k in left), 0
     while left:
-        exact = whole({k: weights[k] for k in left})
-        parts, q = shares({k: weights[k] for k in left}, period)
-        if all(parts[k] * sum(exact.values()) == exact[k] * q for k in left):
-            slots = period_slots(parts, q)
-            end = min(((n - 1) // parts[k]) * q + slots[k][(n - 1) % parts[k]] for k, n in left.items()) + 1
-        else:
-            slots = phase_slots(left, exact)
-            end = q = sum(map(len, slots.values()))
-            parts = {k: len(own) for k, own in slots.items()}
-        phase = {"start": start, "period": q, "sources": {}}
-        for k in list(left):
-            took = end // q * parts[k] + sum(s < end % q for s in slots[k])
-            phase["sources"][k] = (done[k], done[k] + took, slots[k])
-            done[k] += took
-            left[k] -= took
-            if not left[k]:
-                del left[k]
-        out.append(phase)
-        start += end
-    return out
+        slot = 0
+        waiting = [(0, k, 0) for k in left]  # release, source, block of the phase; sorted, so a heap
+        ready: list[tuple[int, str, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                _, k, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // parts[k]), k, j))
+            due, k, j = heapq.heappop(ready)
+            assert due > slot, "a deadline was missed"
+            yield k, start
+            slot += 1
+            if j + 1 == left[k]:
+                break
+            heapq.heappush(waiting, ((j + 1) * total // parts[k], k, j + 1))
+        for _, other, done in waiting + ready:
+            left[other] -= done
+        total -= parts[k]
+        del left[k]
+        start += slot
 
 
 def mix(
@@ -119,17 +71,16 @@ def mix(
     alpha: float = 0.5,
     block_rows: int = 64,
     bucket_rows: int = 2_000,
-    period: int = 1000,
 ) -> DataFrame:
     """df with block, slot and position columns, in which sorting by position gives the mixture.
 
     weights: target weights by source, for all sources present (KeyError else); by default proportional to rows ** alpha, as
-    in temperature sampling. period: the longest period in closed form; longer ones are scheduled block by block. Within a source rows go in the order of a hash of their key, dealt over buckets of about
-    bucket_rows, so no source, however large, is sorted in one task.
+    in temperature sampling. Within a source rows go in the order of a hash of their row, dealt over buckets of about
+    bucket_rows, so no source, however large, is sorted in one task. block_rows: the least rows of a block.
 
     Result columns (replacing columns of these names): mix_block, the source's block; mix_slot, its slot; mix_position =
-    mix_slot * block_rows + place in the block. Null sources are one source; null or repeated keys are placed like others,
-    rows equal in all of (source, key) in arbitrary order. An empty table gives an empty result.
+    mix_slot * rows of a block + place in the block. Null sources are one source; null or repeated keys are placed like others,
+    rows equal in all columns in arbitrary order. An empty table gives an empty result.
     """
     made = ("mix_block", "mix_slot", "mix_position")
     df = df.drop(*made)
@@ -147,7 +98,9 @@ def mix(
     if any(not weights[k] > 0 for k in totals):
         raise ValueError("weights must be above 0")
     buckets = max(1, -(-max(totals.values()) // bucket_rows))
-    mixed = F.xxhash64(F.lit("mix"), F.col(key))
+    block_rows = max(block_rows, -(-sum(totals.values()) // MOST_BLOCKS))
+    # of all columns that can be hashed, so that rows of one key (or of none) don't meet
+    mixed = F.xxhash64(F.lit("mix"), F.col(key), *(F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, AtomicType) and f.name != key))
     dealt = df.withColumns({s_: src, b_: F.pmod(mixed, F.lit(buckets))})
     sizes = dealt.groupBy(s_, b_).agg(F.count(F.lit(1)).alias("n"))
     # a row for each source and bucket; the running sum goes over at most `buckets` rows of a source
@@ -157,14 +110,10 @@ def mix(
     placed = placed.withColumn(p_, F.col(o_) + F.col(p_))
     placed = placed.withColumn("mix_block", F.floor(F.col(p_) / block_rows).cast("long"))
 
-    plan = phases({k: -(-n // block_rows) for k, n in totals.items()}, weights, period)
-    rows = [(k, p["start"], p["period"], lo, hi, len(slots), i, s) for p in plan for k, (lo, hi, slots) in p["sources"].items() if hi > lo for i, s in enumerate(slots) if lo + i < hi]
-    table = spark.createDataFrame(rows, "src string, start long, period long, lo long, hi long, parts long, i long, s long")
-    # all blocks of the sources: rows / block_rows of them
-    steps = F.explode(F.sequence(F.col("lo") + F.col("i"), F.col("hi") - 1, F.col("parts")))
-    slots = table.select("src", steps.alias("mix_block"), "start", "period", "lo", "parts", "s").select(
-        F.col("src").alias(s_), "mix_block", (F.col("start") + F.floor((F.col("mix_block") - F.col("lo")) / F.col("parts")) * F.col("period") + F.col("s")).cast("long").alias("mix_slot")
-    )
+    order = list(schedule({k: -(-n // block_rows) for k, n in totals.items()}, weights))
+    table = pa.table({"src": pa.array([k for k, _ in order], pa.string()), "slot": pa.array(range(len(order)), pa.int64())})
+    blocks = F.row_number().over(Window.partitionBy("src").orderBy("slot")) - 1
+    slots = spark.createDataFrame(table).select(F.col("src").alias(s_), blocks.cast("long").alias("mix_block"), F.col("slot").alias("mix_slot"))
     out = placed.join(slots, [s_, "mix_block"])
     out = out.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(p_) % block_rows)
     return out.select(*df.columns, *made)
