@@ -11,9 +11,9 @@ The suffix arrays are built over what can repeat at all, in blocks that any exec
    prefixes of LENGTH or more make groups of equal strings, of which the earliest stays.
 4. The covered ranges meet their documents.
 
-Names of very many different segments (a common phrase in ever new surroundings) would make one large group; they are found on
-a sample of the documents, and each of their strings is then named by its own two hashes instead, which spreads them. The sample
-only routes: the result is the same either way.
+Names of more than CROWD different segments (a common phrase in ever new surroundings) would make one large array; they are found on
+a sample of the documents and kept as a bitmap of fixed size, and each string of a name whose bit is set is then named by its own
+two hashes instead, which spreads them. Sample and bitmap only route: the result is the same either way.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .common import blocks, byte_table, mix64, settled, text_bytes
 LENGTH, GRAM = 100, 24
 #: Bytes of text whose runs are combined at a time, of segments in one suffix array, and of text that is hashed at a time.
 COMBINE, ARRAY, BLOCK = 12 << 20, 1 << 19, 1 << 18
-#: Names of more different segments than this, or than this share of all runs, are spread. SAMPLE: one document of so many is counted.
-CROWD, CROWD_SHARE, SAMPLE = 20_000, 1e-5, 64
+#: Names of more different segments than this are spread. SAMPLE: one document of so many is counted. BITS: the bitmap has 2 ** BITS.
+CROWD, SAMPLE, BITS = 20_000, 64, 27
 LAST = (1 << 63) - 1
 BYTES = byte_table(41)
 BASE, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -103,9 +103,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, ties: np.nd
         return mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
 
     out["seg"] = hashed(begin, end + LENGTH - 1)
-    if spread is not None and len(spread):
-        at = np.searchsorted(spread, out["name"])
-        crowd = spread[np.minimum(at, len(spread) - 1)] == out["name"]
+    if spread is not None:
+        bit = (out["name"] >> np.uint64(8)) & np.uint64((1 << BITS) - 1)
+        crowd = (spread[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
         if crowd.any():
             few, n = out[crowd], out["more"][crowd] + 1
             own = np.repeat(few, n)
@@ -147,6 +147,24 @@ def unpack(blob: bytes) -> np.ndarray:
 # two-stage suffix sorting
 
 
+def by_first_bytes(padded: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """places in order of the `depth` bytes from each: by eight bytes at a time, those that are still equal by the next eight."""
+    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    key = words[places].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    places, key = places[order], key[order]
+    edge = np.append(True, key[1:] != key[:-1])
+    for k in range(8, depth, 8):
+        tied = np.flatnonzero(~edge | ~np.append(edge[1:], True))
+        if not len(tied):
+            break
+        group, key = np.cumsum(edge)[tied], words[places[tied] + k].astype(np.uint64)
+        order = np.lexsort((key, group))
+        places[tied], key = places[tied][order], key[order]
+        edge[tied[1:]] |= key[1:] != key[:-1]
+    return places
+
+
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """The suffixes of text (uint8) in order of their first `depth` bytes at least (more, for induced ones).
 
@@ -164,11 +182,10 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     has = following < len(change)
     at = change[following[has]]
     smaller[has] = text[at] < text[at + 1]
-    padded = np.concatenate([text, np.zeros(depth, np.uint8)])
+    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
     direct = np.flatnonzero(smaller)
     if len(direct):
-        strings = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]
-        direct = direct[np.argsort(np.ascontiguousarray(strings).view(f"S{depth}").ravel(), kind="stable")]
+        direct = by_first_bytes(padded, direct, depth)
     bounds = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[-1]].append(np.array([n - 1]))  # the successor of the last suffix is the empty one, the least of all
@@ -322,7 +339,7 @@ def by_name(packed: DataFrame) -> DataFrame:
 
 
 def crowds(docs: DataFrame) -> np.ndarray:
-    """The names to spread, in order: those whose different segments, counted on a sample of the documents, are over the limit."""
+    """The bitmap of the names to spread: those whose different segments, counted on a sample of the documents, are over the limit."""
 
     def run(batches):
         for b in batches:
@@ -334,12 +351,24 @@ def crowds(docs: DataFrame) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64(F.lit("crowd"), "doc", "tie"), F.lit(SAMPLE)) == 0)
     pairs = sample.select("doc", "tie", "text").mapInArrow(run, "name long, seg long")
-    counts = pairs.groupBy("name", "seg").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("all"))
-    counts = settled(counts.where("n > 1"), "crowds")
-    total = counts.agg(F.sum("all")).first()[0] or 0
-    least = max(CROWD, CROWD_SHARE * total * SAMPLE) / SAMPLE
-    # at most 1 / CROWD_SHARE names are over the share
-    return np.sort(np.array([r[0] for r in counts.where(F.col("n") > least).select("name").collect()], np.int64).view(np.uint64))
+    counts = pairs.groupBy("name", "seg").agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    bit = F.shiftright("name", 8).bitwiseAND(F.lit((1 << BITS) - 1))
+    marks = counts.where(F.col("n") > CROWD / SAMPLE).select(bit.alias("bit"))
+    parts = marks.groupBy(F.shiftright("bit", 16).alias("part")).agg(F.collect_set(F.col("bit").bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("low"))
+
+    def drawn(batches):
+        for b in batches:
+            maps = []
+            for low in b.column(1).to_pylist():
+                part = np.zeros(1 << 16, np.uint8)
+                part[low] = 1
+                maps.append(np.packbits(part, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], ["part", "bits"])
+
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for part, bits in parts.mapInArrow(drawn, "part long, bits binary").collect():  # 2 ** BITS bits at most
+        out[part << 13 : (part + 1) << 13] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -418,7 +447,8 @@ def covered(docs: DataFrame) -> DataFrame:
 
     Earlier means: a smaller document, or the same and an earlier start. Null texts are empty; null ids come after all others. Rows that
     share an id are documents in order of a hash of their text; rows equal in both are one document, and each gets its result.
-    Texts shorter than LENGTH bytes are kept whole. An empty table gives an empty result.
+    Texts shorter than LENGTH bytes are kept whole. Other columns of docs are left out, whatever their names; ids must be integers or
+    cast to long. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))

@@ -66,10 +66,29 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in suffixdedup.op1(docs).collect()) == want
     monkeypatch.setattr(suffixdedup, "CROWD", 3)  # the spread names give the same
     monkeypatch.setattr(suffixdedup, "SAMPLE", 1)
-    assert len(suffixdedup.crowds(docs.selectExpr("doc_id doc", "0L tie", "coalesce(text, '') text")))
+    assert suffixdedup.crowds(docs.selectExpr("doc_id doc", "0L tie", "coalesce(text, '') text")).any()
     assert sorted(tuple(r) for r in suffixdedup.op1(docs).collect()) == want
 
 
+def test_long_periodic_texts_and_other_columns(spark):
+    rows = [(1, "abcdefghij" * 30_000, 1), (2, "x" * 200_000 + "end", 2), (3, "bcdefghija" * 20 + "tail", 3)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixdedup.op1(spark.createDataFrame(rows, "doc_id long, text string, tie int")).collect()}
+    # all but the first ten places of a period start strings that stood before; the last string of the x is new, as are those with the tail
+    assert got == {1: (300_000, 300_000 - 10, 1), 2: (200_003, 199_999, 1), 3: (204, 200, 1)}
+
+
+def test_equal_places_are_sorted_without_copies_of_their_strings():
+    rng = np.random.default_rng(7)
+    text = np.tile(rng.integers(97, 123, 5000).astype(np.uint8), 200)
+    places = rng.permutation(len(text) - 100)[:200_000]
+    padded = np.concatenate([text, np.zeros(108, np.uint8)])
+    got = suffixdedup.by_first_bytes(padded, places, 100)
+    assert sorted(got.tolist()) == sorted(places.tolist())
+    raw = text.tobytes()
+    strings = [raw[k : k + 100] for k in got[::50]]
+    assert strings == sorted(strings)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     text = "".join(chr(97 + k * k % 26) + str(k) for k in range(120))
     docs = spark.createDataFrame([(2, text), (2, text), (1, "short"), (None, text), (3, None)], "doc_id long, text string")
