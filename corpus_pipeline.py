@@ -23,9 +23,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a smaller document holds."""
+    """All documents, without the lines that a smaller document holds. Those of which that is more than half keep their text: whether
+    they are copies is for the next stage to say, which would not know a copy by the lines that are left. So no document is emptied."""
     names = tuple(unused(docs, "n_lines", "n_dropped"))
-    out = linededup.dedup(docs, names=names)
+    out = linededup.dedup(docs, names=names, spare=0.5)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
