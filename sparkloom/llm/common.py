@@ -21,17 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where none is set (tests, local runs)."""
+    """The shared folder of the session; a folder of our own only where none is set and all executors are this process (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: the lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/sparkloom-{name}-{uuid.uuid4().hex}"
+    """df written as a Parquet table in the shared folder and read back: the lineage ends there, and lost executors lose nothing.
+
+    The tables of an application stand in one folder, which can go when it has ended (results are read from it until then).
+    """
+    path = f"{shared_dir(df.sparkSession)}/sparkloom-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -107,7 +107,9 @@ def _base_spans(rank: int, kind: str, pattern: str, group: int, least: int) -> C
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row of docs (doc_id, text): array of struct(at, rank, kind, end, secret) in order of start, then kind.
 
-    Kinds rank in the order of KINDS, then `entropy`. Null and empty texts have no spans; repeated rows each get a row.
+    Kinds rank in the order of KINDS, then `entropy`; spans of one start go by rank. Null and empty texts have no spans; repeated rows
+    and null ids each get a row, an empty table an empty result. Other columns of docs are left out, whatever their names. Texts of
+    any length are scanned whole, in memory in proportion to the longest.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -71,3 +73,39 @@ def test_allow_list_drops_no_more_than_it_says(spark):
     got = {r.doc_id: r.spans for r in secrets.op8(docs).collect()}
     assert [got[k] for k in range(len(lost))] == [f"entropy:0:{len(t)}" for t in lost]
     assert [got[len(lost) + k] for k in range(len(allowed))] == [""] * len(allowed)
+
+
+def plain_spans(text):
+    """All spans by plain code: the base kinds, then candidates that overlap none of them and have a window over the threshold."""
+    spans = []
+    for rank, (kind, pattern, group, least) in enumerate(secrets.KINDS):
+        spans += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    base = list(spans)
+    for m in re.finditer(secrets.CANDIDATE, text):
+        if any(a < m.end() and m.start() < b for a, _, _, b in base) or any(re.search(p, m[0]) for p in secrets.ALLOW):
+            continue
+        best = 0
+        for piece in re.split(secrets.NO_SECRET, m[0]):
+            for k in range(len(piece) - secrets.WINDOW + 1):
+                counts = Counter(piece[k : k + secrets.WINDOW]).values()
+                best = max(best, -sum(n / secrets.WINDOW * math.log2(n / secrets.WINDOW) for n in counts))
+        if best >= (secrets.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", m[0]) else secrets.MIXED_BITS) - 1e-9:
+            spans.append((m.start(), len(secrets.KINDS), "entropy", m.end()))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+
+
+def test_query_against_brute_force(spark, sf):
+    rng = random.Random(11)
+    mixed = "ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    parts = [
+        lambda: draw(mixed, rng.randint(15, 60)), lambda: draw("0123456789ABCDEF", rng.randint(18, 40)), lambda: draw("abc", 30), lambda: draw(mixed, 12) + "/test/" + draw(mixed, rng.randint(10, 30)),
+        lambda: f"Api_Key = '{draw(mixed, rng.randint(3, 30))}'", lambda: "AKIA" + draw("ABCXYZ0189", rng.randint(10, 24)), lambda: draw("0123456789abcdef", rng.randint(20, 40)), lambda: "é some words\n", lambda: "a-long-name/of-joined-words_in_a_path", lambda: "3f2b8c1e-1234-5678-9abc-def012345678",
+    ]
+    rows = [(k, " ".join(rng.choice(parts)() for _ in range(rng.randint(0, 7)))) for k in range(250)] + [(None, "AKIA" + "Z" * 16), (3, None), (3, None), (4, draw(mixed, 30_000))]
+    got = secrets.op8(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, base int")).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), plain_spans(t or "")) for i, t in rows)
+    assert sum("entropy" in r.spans for r in got) > 50
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: plain_spans(r.text or "") for r in docs.collect()}
+    assert {r.doc_id: r.spans for r in secrets.op8(docs).collect()} == want

@@ -1,3 +1,4 @@
+import random
 import re
 
 from sparkloom.llm import urls
@@ -58,3 +59,109 @@ def test_branches_without_labels_take_the_closest_labelled_ones_above(spark):
     bad = (40 + 4 * host) / 44
     assert abs(by[5].purity - host) < 1e-9 and abs(by[1].purity - bad) < 1e-9 and abs(by[6].purity - 20 / 136) < 1e-9
     assert {r.template for r in got if r.path.endswith("/x") and r.host == "h.com"} == {"bad/*/x", "good/*/x"}
+
+
+def plain_judge(pages, rules, fanout=16, share=0.02, pull=4.0, z=1.96, threshold=0.5):
+    """The template tree by plain code: (template, purity, verdict) of each page."""
+    rows, counts = [], {}
+    for url in pages:
+        if url is None or "://" not in url:
+            host = path = ""
+        else:
+            rest = url.split("://", 1)[1]
+            cut = min([k for k in (rest.find(c) for c in "/?#") if k >= 0], default=len(rest))
+            host, path = re.sub("[A-Z]", lambda m: m[0].lower(), rest[:cut]), re.split(r"[?#]", rest[cut:], maxsplit=1)[0]
+        fits = [(h + p, v == "block", v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        verdict = max(fits, key=lambda x: (len(x[0]), x[1]))[2] if fits else None
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), s) for s in re.sub("^/", "", path).split("/")]
+        shape = tuple(re.sub("[0-9]+", "#", re.sub("[0-9a-f]*[0-9][0-9a-f]{7,}", "#", s)) for s in low)
+        rows.append((host, shape, verdict))
+        own = counts.setdefault((host, shape), [0, 0, 0])
+        own[0] += 1
+        own[1] += verdict is not None
+        own[2] += verdict == "block"
+    template = {}
+
+    def split(host, shapes, stem):
+        level = len(stem)
+        for s in shapes:
+            if len(s) <= level:
+                template[host, s] = stem
+        shapes = [s for s in shapes if len(s) > level]
+        if not shapes:
+            return
+        if level >= urls.LEVELS and len(shapes) <= fanout:
+            for s in shapes:
+                template[host, s] = (*stem, "/".join(s[level:]))
+            return
+        own = {}
+        for s in shapes:
+            own[s[level]] = own.get(s[level], 0) + counts[host, s][0]
+        name = lambda x: "*" if len(own) > fanout and own[x] < share * sum(own.values()) else x
+        for child in sorted({name(x) for x in own}):
+            split(host, [s for s in shapes if name(s[level]) == child], (*stem, child))
+
+    for host in {h for h, _ in counts}:
+        split(host, [s for h, s in counts if h == host], ())
+    node = {}
+    for (host, shape), (_, l, b) in counts.items():
+        t = template[host, shape]
+        for k in range(1, len(t) + 1):
+            have = node.setdefault((host, t[:k]), [0, 0])
+            have[0] += l
+            have[1] += b
+
+    def mark(host, stem):
+        siblings = [v for (h, s), v in node.items() if h == host and len(s) == len(stem) and s[:-1] == stem[:-1]]
+        l, b = node[host, stem]
+        l_all, b_all = sum(v[0] for v in siblings), sum(v[1] for v in siblings)
+        if not l or l == l_all:
+            return stem[-1]
+        p = b_all / l_all
+        error = (p * (1 - p) * (1 / l + 1 / (l_all - l))) ** 0.5
+        return "*" if abs(b / l - (b_all - b) / (l_all - l)) <= z * error else stem[-1]
+
+    branch = {k: tuple(mark(k[0], t[: n + 1]) for n in range(len(t))) for k, t in template.items()}
+    stems = {}
+    for k, (_, l, b) in counts.items():
+        for n in range(len(branch[k]) + 1):
+            have = stems.setdefault((k[0], branch[k][:n]), [0, 0])
+            have[0] += l
+            have[1] += b
+    labelled = sum(v[1] for v in counts.values())
+    prior = sum(v[2] for v in counts.values()) / max(1, labelled) / 2
+    out = []
+    for host, shape, verdict in rows:
+        own, purity = branch[host, shape], prior
+        for n in range(len(own) + 1):
+            l, b = stems[host, own[:n]]
+            purity = (b + pull * purity) / (l + pull)
+        out.append(("/".join(own), purity, verdict or ("block" if purity > threshold else "allow"), verdict))
+    return out
+
+
+def same(got, want):
+    for r, (template, purity, verdict, _) in zip(sorted(got, key=lambda r: r.page_id), want, strict=True):
+        assert (r.template, r.verdict) == (template, verdict) and abs(r.purity - purity) < 1e-9, r
+
+
+def test_whole_table_against_a_plain_tree(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").orderBy("page_id")
+    rows = pages.collect()
+    want = plain_judge([r.url for r in rows], urls.RULES)
+    same(urls.judge(pages).collect(), want)
+    free = [v for _, _, v, rule in want if rule is None]
+    assert free.count("block") > 100 and free.count("allow") > 100  # the method decides both ways
+
+
+def test_deep_and_wide_trees_against_a_plain_tree(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    stems = ["/".join(word(2) for _ in range(k)) for k in (1, 3, 5, 6, 7)]
+    out = [f"http://h{k % 3}.com/{rng.choice(stems)}/{word(rng.choice([1, 2, 3]))}" + rng.choice(["", "/", f"/{word(1)}", f"/p{k}/x"]) for k in range(900)] + ["http://h1.com", None]
+    rules = [("h1.com", f"/{s}/{c}", v) for s in stems for c, v in (("a", "block"), ("b", "allow"))] + [("h2.com", f"/{stems[3]}", "block"), ("h2.com", f"/{stems[4]}", "allow"), ("h0.com", f"/{stems[2]}/ab", "block")]
+    want = plain_judge(out, rules)
+    same(urls.judge(spark.createDataFrame(list(enumerate(out)), "page_id long, url string"), rules).collect(), want)
+    assert max(t.count("/") for t, *_ in want) > 5  # branches below LEVELS are told apart
+    long = "http://h.com/" + "a/" * 5000 + "end"
+    assert urls.judge(spark.createDataFrame([(1, long), (2, long + "x")], "page_id long, url string")).count() == 2
