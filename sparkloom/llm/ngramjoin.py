@@ -12,8 +12,9 @@ already. Those that may link are tied, and what ties connect is a candidate grou
 
 Within a group, classes are dealt into blocks of bounded size, and the trees of blocks are traversed in the same way, but the pairs
 that are left are compared exactly. What links connect is given by the least member, and never as all pairs of a group. Groups of
-several blocks take three steps: each block with itself; the components that this gives, by their representatives; and last those
-classes outside their group's largest component with every block.
+several blocks take four steps: each block with itself; all blocks with the group's leaders, the classes that joined most others and the
+least one; the components that this gives, by their representatives; and last those classes outside their group's largest
+component with every block.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import UNBLANK, blocks, gram_hashes, joined_skewed, mix64, settled, text_bytes, word_hashes
@@ -32,7 +33,9 @@ from .forest import BLOCKS, CHUNK, Edges, batch, buckets_for, by_bucket, compone
 
 GROWTH = 1.33
 #: Classes in a block; children of a tree's node.
-BLOCK, FANOUT = 400, 16
+BLOCK, FANOUT = 800, 16
+#: Leaders of a group.
+LEADERS = 16
 HASHES = "doc_id long, n long, h1 long, h2 long, bits binary"
 #: Keys that are combined at a time before they are dealt out.
 COMBINE = 1_000_000
@@ -271,30 +274,44 @@ def possible(one: tuple, i: np.ndarray, two: tuple, j: np.ndarray, percent: int)
     return (100 + percent) * overlap >= percent * (np.maximum(low1, overlap) + np.maximum(low2, overlap))
 
 
-def alike(sets: list[np.ndarray], percent: int):
-    """The exact test of two sets."""
+def alike(sets: list[np.ndarray], percent: int, most: int = 64 << 20):
+    """The exact test of pairs of sets, by bitmaps over the tokens that several sets have (at most `most` bytes), else one by one."""
+    sizes = np.array([len(s) for s in sets])
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    wide = -(-int((count > 1).sum()) // 64) or 1
+    if 8 * wide * len(sets) <= most:
+        owner, at = np.repeat(np.arange(len(sets)), sizes)[count[at] > 1], column[at[count[at] > 1]]
+        bits = np.zeros((len(sets), wide), np.uint64)
+        np.bitwise_or.at(bits, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
 
-    def test(a: int, b: int) -> bool:
-        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        return 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared)
+        def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64)
+
+    else:
+
+        def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = overlap(a, b)
+        return 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
 
     return test
 
 
-def link(one: Tree, two: Tree, forest: Forest, percent: int, test) -> Iterator[tuple[int, int]]:
-    """Links (pairs that the bounds leave and that pass the test) between members of the trees that join components of the forest;
-    the forest takes them in."""
+def link(one: Tree, two: Tree, forest: Forest, percent: int, test=None) -> Iterator[tuple[int, int]]:
+    """Links (pairs that the bounds leave and that pass the test, if there is one) between members of the trees that join components of
+    the forest; the forest takes them in."""
     same = one is two
+    if len(one.levels) == len(two.levels) == 1:
+        if not same and forest.find(int(one.members[0])) != forest.find(int(two.members[0])):
+            yield from _joined(one, np.zeros(1, int), two, np.zeros(1, int), forest, percent, test)
+        return
     top1, top2 = len(one.levels) - 1, len(two.levels) - 1
     stack = [(top1, 0, top2, 0)]
     while stack:
         k1, i, k2, j = stack.pop()
-        if k1 == 0 and k2 == 0:
-            a, b = int(one.members[i]), int(two.members[j])
-            if forest.find(a) != forest.find(b) and test(a, b):
-                forest.union(a, b)
-                yield a, b
-            continue
         roots = {forest.find(int(m)) for m in one.span(k1, i)}
         if len(roots) == 1 and all(forest.find(int(m)) in roots for m in two.span(k2, j)):
             continue
@@ -307,21 +324,41 @@ def link(one: Tree, two: Tree, forest: Forest, percent: int, test) -> Iterator[t
             keep = x <= y if k1 > 1 else x < y
             x, y = x[keep], y[keep]
         l1, l2 = k1 - down1, k2 - down2
+        if l1 == l2 == 0:
+            yield from _joined(one, x, two, y, forest, percent, test)
+            continue
         ok = possible(one.levels[l1], x, two.levels[l2], y, percent)
         x, y = x[ok], y[ok]
         order = np.argsort(np.where(x == y, 1, 0) if same else -np.abs(x - y), kind="stable")  # nodes with themselves come off the stack first
         stack.extend((l1, int(x[k]), l2, int(y[k])) for k in order)
 
 
+def _joined(one: Tree, x: np.ndarray, two: Tree, y: np.ndarray, forest: Forest, percent: int, test) -> Iterator[tuple[int, int]]:
+    """Links between leaves x of one tree and y of another."""
+    apart = np.array([forest.find(int(a)) for a in one.members[x]]) != np.array([forest.find(int(b)) for b in two.members[y]])
+    x, y = x[apart], y[apart]
+    ok = possible(one.levels[0], x, two.levels[0], y, percent)
+    a, b = one.members[x[ok]], two.members[y[ok]]
+    if test is not None and len(a):
+        good = test(a, b)
+        a, b = a[good], b[good]
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        if forest.find(i) != forest.find(j):
+            forest.union(i, j)
+            yield i, j
+
+
 def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """What the links within each task's rows (task long, side int, doc_id long, cls long, text) connect: (a, b), with b the least class
-    that links connect class a with, b < a.
+    """What the links within each task's rows (task long, side int, doc_id long, cls long, text) connect: (a, b, links), with b the least
+    class that links connect class a with, and how many joins of components it took part in. A class without links has no row.
 
     Rows of side 1 are compared with those of side 0, or, if a task has none, those of side 0 with each other. Rows of one cls count
     as linked.
     """
 
-    def solve(part: pa.Table) -> list[tuple[int, int]]:
+    kind = "a long, b long, links long"
+
+    def solve(part: pa.Table) -> list[tuple[int, int, int]]:
         cls, side = (np.asarray(part.column(k)) for k in ("cls", "side"))
         sets = list(sets_of(part.column("text"), width))
         first: dict[int, int] = {}
@@ -332,9 +369,13 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
         bits = 1 << max(6, int(np.ceil(np.log2(4 * most + 1))))
         one = Tree.of(np.flatnonzero(side == 0), sets, bits)
         two = Tree.of(np.flatnonzero(side == 1), sets, bits) if (side == 1).any() else one
-        for _ in link(one, two, forest, percent, alike(sets, percent)):
-            pass
-        return [(c, int(cls[root])) for c, k in first.items() if (root := forest.find(k)) != k]
+        if not len(one.members):
+            return []
+        links = np.zeros(len(sets), np.int64)
+        for pair in link(one, two, forest, percent, alike(sets, percent)):
+            links[list(pair)] += 1
+        joins = np.bincount([first[int(c)] for c in cls], links, len(sets)).astype(np.int64)
+        return [(c, int(cls[forest.find(k)]), int(joins[k])) for c, k in first.items() if joins[k] or forest.find(k) != k]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -348,12 +389,12 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
                     out += solve(pa.Table.from_batches(held))
                     held = []
                 held.append(b.slice(lo, hi - lo))
-            yield _edges(out)
+            yield batch(kind, out)
         if held:
-            yield _edges(solve(pa.Table.from_batches(held)))
+            yield batch(kind, solve(pa.Table.from_batches(held)))
 
     dealt = rows.select("task", "side", "doc_id", "cls", "text").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, kind)
 
 
 def may_link(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +440,7 @@ def may_link(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, maps: list[
                 forest.union(int(at[0]), int(k))
         elif len(roots) > 1:
             tree = Tree(at, sizes[at], folded([maps[k] for k in at]))
-            for _ in link(tree, tree, forest, percent, lambda a, b: True):
+            for _ in link(tree, tree, forest, percent):
                 pass
     root = np.array([forest.find(k) for k in range(len(sizes))])
     node = np.flatnonzero(root != np.arange(len(sizes)))
@@ -466,10 +507,6 @@ def refined(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return by_bucket(by_bucket(asked.union(known), buckets, attach, MEET), buckets, solve, BLOCKS)
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
 def join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id integer, text).
 
@@ -525,12 +562,26 @@ def _across(texts: DataFrame, inside: DataFrame, width: int, percent: int, block
         near = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         return df.join(near, F.col(column) == F.col("_a"), "left").withColumn("cls", F.coalesce("_b", column)).drop("_a", "_b")
 
-    # the representatives of the blocks' components, in blocks again
-    once = settled(labelled(texts, "doc_id", inside), "labels")
+    def relabelled(known: DataFrame, edges: DataFrame) -> DataFrame:
+        """known with the least of the classes that edges connect; a class's rows may be in several tasks."""
+        near = components(edges).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return settled(labelled(known.withColumnRenamed("cls", "was"), "was", near).drop("was"), "labels")
+
+    # all with the leaders: of each block the class of most joins, of those the first LEADERS, and the group's least class
+    first = settled(labelled(texts, "doc_id", inside.where("a <> b")), "labels")
+    busy = first.join(inside.select(F.col("a").alias("doc_id"), "links").where("links > 0"), "doc_id")
+    best = busy.groupBy("grp", "block").agg(F.max(F.struct("links", "doc_id")).alias("best")).select("grp", F.col("best.links").alias("links"), F.col("best.doc_id").alias("doc_id"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("links"), "doc_id"))).where(F.col("rank") <= LEADERS)  # a row for each block
+    chosen = ranked.select("grp", "doc_id").union(first.groupBy("grp").agg(F.min("doc_id").alias("doc_id"))).distinct()
+    leaders = settled(first.join(chosen, ["grp", "doc_id"]).select("grp", "nblocks", "doc_id", "cls", "text"), "leaders")
+    copied = leaders.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nblocks") - 1)))  # LEADERS + 1 for each block
+    rows = copied.select(F.xxhash64(F.lit("leaders"), "grp", "to").alias("task"), F.lit(0).alias("side"), "doc_id", "cls", "text")
+    others = first.select(F.xxhash64(F.lit("leaders"), "grp", "block").alias("task"), F.lit(1).alias("side"), "doc_id", "cls", "text")
+    once = relabelled(first, linked(rows.union(others), width, percent))
+    # the representatives of the components, in blocks again
     heads = once.where("doc_id = cls").withColumn("nheads", F.ceil(F.col("nblocks") / 16).cast("int"))
     rows = heads.select(F.xxhash64(F.lit("heads"), "grp", F.pmod(F.xxhash64("doc_id"), F.col("nheads"))).alias("task"), F.lit(0).alias("side"), "doc_id", "cls", "text")
-    first = settled(linked(rows, width, percent), "links")
-    now = settled(labelled(once.withColumnRenamed("cls", "was"), "was", first).drop("was"), "labels")
+    now = relabelled(once, linked(rows, width, percent))
     # all but the largest component of each group meet every block
     sizes = now.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("n"))
@@ -542,7 +593,7 @@ def _across(texts: DataFrame, inside: DataFrame, width: int, percent: int, block
     spread = strays.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nblocks") - 1)))
     side1 = spread.select(F.xxhash64("grp", "to", "k").alias("task"), F.lit(1).alias("side"), "doc_id", "cls", "text")
     last = components(linked(side0.union(side1), width, percent)).select(F.col("node").alias("a"), F.col("root").alias("b"))
-    ends = labelled(now.select("doc_id", "cls").distinct().withColumnRenamed("cls", "was"), "was", last).select(F.col("doc_id").alias("a"), F.col("cls").alias("b")).where("a <> b")
+    ends = labelled(now.select("doc_id", "cls").distinct().withColumnRenamed("cls", "was"), "was", last).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"), F.lit(0).cast("long").alias("links"))
     # groups of one block keep what was found within them
     return inside.join(texts.select(F.col("doc_id").alias("a")).distinct(), "a", "left_anti").union(ends)
 

@@ -75,6 +75,29 @@ def test_tree_links_reach_what_all_pairs_reach():
     assert n == len(sets) - len(set(roots))
 
 
+def test_exact_tests_agree():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
+    a, b = (m.ravel() for m in np.meshgrid(np.arange(40), np.arange(40)))
+    want = [100 * len(set(sets[i]) & set(sets[j])) >= 55 * len(set(sets[i]) | set(sets[j])) for i, j in zip(a, b, strict=True)]
+    assert ngramjoin.alike(sets, 55)(a, b).tolist() == ngramjoin.alike(sets, 55, 0)(a, b).tolist() == want
+
+
+def test_a_star_of_many_blocks(spark):
+    """Copies that link with their original alone, and texts that share a passage and link with nothing."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(5000, " ".join(base))]
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(200), 5):
+            own[at] = f"x{k}a{at}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, " ".join(base[:60] + [f"y{k}a{j}" for j in range(40)])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngramjoin.join(docs, 5, 70, 8).collect()) == plain(rows, 5, 70)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(1)
     for percent in (70, 80, 90):
