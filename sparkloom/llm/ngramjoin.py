@@ -454,7 +454,7 @@ def refined(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     bucket of classes and of keys. Classes of one name (there is one in 2 ** 64) count as if their bitmaps weren't known.
     """
     pairs = shared.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    buckets = buckets_for(shared, max(pairs, classes.count()), 4_000, 1_000_000)
+    buckets = buckets_for(shared, max(pairs, classes.count()), 4_000, 250_000)
 
     def split(batches):
         for b in batches:
