@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
+#: Bytes of a batch that goes to a Python worker, where the session sets none; a longer row is a batch of its own.
+BATCH = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +47,31 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # glibc's only
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: workers live on between tasks, and would keep their greatest size."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of bounded bytes, not only rows, and workers that give their memory back after a task."""
+    if not df.sparkSession.conf.get(BATCH_BYTES, None):
+        df.sparkSession.conf.set(BATCH_BYTES, str(BATCH))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names that df's columns don't have, whatever their case: those given, with underscores before them where needed."""
     taken, out = {c.lower() for c in df.columns}, []

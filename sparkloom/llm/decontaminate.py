@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from .common import ALNUM, blocks, gram_hashes, mix64, text_bytes, unused, word_hashes
+from .common import ALNUM, blocks, gram_hashes, mapped, mix64, text_bytes, unused, word_hashes
 
 #: Bytes of test items that are broadcast at a time.
 BLOCK_BYTES = 16 << 20
@@ -191,7 +191,6 @@ def covered(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
 
         def run(batches, block=block):
             items = Items(*block.value, least)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("words", pa.int64()), ("tiles", pa.list_(pa.struct([("item_at", pa.int64()), ("doc_at", pa.int64()), ("length", pa.int64())])))]))
             for b in batches:
                 data, offsets = text_bytes(b.column(at))
                 found: dict[int, list] = {}
@@ -209,10 +208,11 @@ def covered(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
                             found.setdefault(i + row, []).append(hit)
                 if found:
                     old = b.column(b.num_columns - 1).to_pylist()
-                    b = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[*old[r], *found.get(r, [])] for r in range(b.num_rows)], kind)], b.schema.names)
+                    new = pa.array([[*old[r], *found.get(r, [])] for r in range(b.num_rows)], b.schema.types[-1])
+                    b = pa.RecordBatch.from_arrays([*b.columns[:-1], new], schema=b.schema)  # as that of batches without hits
                 yield b
 
-        rest = rest.mapInArrow(run, schema)
+        rest = mapped(rest, run, schema)
     return rest
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settled
+from .common import mapped, mix64, settled
 
 #: Edges that a task reduces at a time, and those of a block.
 HOLD, CHUNK = 1_000_000, 200_000
@@ -118,7 +118,7 @@ def by_bucket(df: DataFrame, buckets: int, solve: Callable, kind: str) -> DataFr
         if held:
             yield batch(kind, list(solve(now, held)))
 
-    return df.repartition(buckets, df.columns[0]).sortWithinPartitions(df.columns[0]).mapInArrow(run, kind)
+    return mapped(df.repartition(buckets, df.columns[0]).sortWithinPartitions(df.columns[0]), run, kind)
 
 
 def buckets_for(df: DataFrame, n: int, each: int = SPREAD, most: int = MOST) -> int:
@@ -140,7 +140,7 @@ def reduced(edges: DataFrame) -> DataFrame:
             own.add(np.asarray(b.column(0)), np.asarray(b.column(1)))
         yield batch(BLOCKS, list(own.rows()))
 
-    return edges.mapInArrow(run, BLOCKS)
+    return mapped(edges, run, BLOCKS)
 
 
 def connected(blocks: DataFrame, rounds: int = 60) -> DataFrame:
@@ -191,7 +191,7 @@ def connected(blocks: DataFrame, rounds: int = 60) -> DataFrame:
             for own in cut(by[hit]):
                 yield int(by[hit][own[0]]), ANSWER, len(own), len(own), squeeze(asked[hit][own], least[at][hit][own])
 
-    state = blocks.select("n", "blob").mapInArrow(begin, DEALT)
+    state = mapped(blocks.select("n", "blob"), begin, DEALT)
     for _ in range(rounds if count else 0):
         state = settled(by_bucket(by_bucket(state, buckets, shorten, DEALT), buckets, answer, DEALT), "forest")
         if not state.agg(F.sum("changed")).first()[0]:
@@ -206,7 +206,7 @@ def connected(blocks: DataFrame, rounds: int = 60) -> DataFrame:
                 if kind == EDGE:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in spread(blob, n)], ["node", "root"])
 
-    return state.select("kind", "n", "blob").mapInArrow(unpacked, "node long, root long")
+    return mapped(state.select("kind", "n", "blob"), unpacked, "node long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined_skewed, mix64, settled, unused
+from .common import joined_skewed, mapped, mix64, settled, unused
 
 #: Fixed values of the key: the blanks that are stripped, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -219,7 +219,7 @@ class LineIndex:
             if now is not None and (out := work(own, None, now)) is not None:
                 yield out
 
-        return dealt.mapInArrow(run, kind)
+        return mapped(dealt, run, kind)
 
     def _asked(self, delta: DataFrame) -> DataFrame:
         """delta (a row for each key) with `known`: false where the shard's filter proves the key new."""
@@ -324,7 +324,7 @@ def dedup(docs: DataFrame, least: int = 10, refs: DataFrame | None = None, names
 
     from pyspark.sql.types import LongType, StructType
 
-    return both.mapInArrow(run, StructType([*rest.schema.fields]).add(names[0], LongType()).add(names[1], LongType()))
+    return mapped(both, run, StructType([*rest.schema.fields]).add(names[0], LongType()).add(names[1], LongType()))
 
 
 def op4(docs: DataFrame) -> DataFrame:

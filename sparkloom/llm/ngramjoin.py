@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UNBLANK, blocks, gram_hashes, joined_skewed, mix64, settled, text_bytes, word_hashes
+from .common import UNBLANK, blocks, gram_hashes, joined_skewed, mapped, mix64, settled, text_bytes, word_hashes
 from .forest import BLOCKS, CHUNK, Edges, batch, buckets_for, by_bucket, components, connected, cut, spread, squeeze, stars
 
 GROWTH = 1.33
@@ -43,6 +43,7 @@ COMBINE = 1_000_000
 #: (which loses no link: groups may hold more than what links).
 TIE, KEY_ROWS = 1_000, 20_000
 PAIRS = "kind int, n long, blob binary"
+DEALT_KEYS = "bucket int, kind int, n long, blob binary"
 MEET = "bucket int, kind int, c long, n long, bits binary, blob binary"
 
 
@@ -141,7 +142,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 rows.append((doc, len(s), *names_of(s), bitmap(s, 1 << min(14, max(8, (2 * len(s)).bit_length()))).tobytes()))
             yield batch(HASHES, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, HASHES)
+    return mapped(docs.select("doc_id", "text"), run, HASHES)
 
 
 def distinct(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -157,6 +158,20 @@ def distinct(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys, owners, np.repeat(count, count), np.arange(len(keys)) - first, owners[first]
 
 
+def packed_keys(keys: np.ndarray, owners: np.ndarray, buckets: int, ties: Edges) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows of DEALT_KEYS, one for each bucket: its distinct (key, owner) pairs. Owners of a key beyond TIE go to ties instead.
+
+    A key is in one bucket, so each bucket is sorted by itself, in memory of its own size.
+    """
+    bucket = ((mix64(keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    for at in cut(bucket):
+        own, by, _, rank, least = distinct(keys[at], owners[at])
+        if (late := rank >= TIE).any():
+            ties.add(by[late], least[late])
+            own, by = own[~late], by[~late]
+        yield int(bucket[at[0]]), 0, len(own), squeeze(own, by)
+
+
 def shared_keys(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """PAIRS of docs (doc_id long, text): blocks of (key, class) for each key of several classes (kind 0), and of ties (kind 1).
 
@@ -165,35 +180,33 @@ def shared_keys(docs: DataFrame, width: int, percent: int, buckets: int) -> Data
     """
 
     def deal(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
+        names: list[int] = []
         seen: set[tuple] = set()
         size, ties = 0, Edges()
 
         def flush():
-            keys, owners, _, rank, least = distinct(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
-            late = rank >= TIE
-            ties.add(owners[late], least[late])
-            keys, owners = keys[~late], owners[~late]
-            bucket = (mix64(keys.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
-            return [(int(bucket[at[0]]), 0, len(at), squeeze(keys[at], owners[at])) for at in cut(bucket)]
+            keys, owners = np.concatenate(held), np.repeat(np.array(names, np.int64), [len(h) for h in held])
+            held.clear()
+            names.clear()
+            seen.clear()
+            return batch(DEALT_KEYS, list(packed_keys(keys, owners, buckets, ties)))
 
-        kind = "bucket int, kind int, n long, blob binary"
         for b in batches:
             for tokens in sets_of(b.column(0), width):
                 name = (len(tokens), *names_of(tokens))
                 if not len(tokens) or name in seen:
                     continue
                 seen.add(name)
-                keys = part_keys(tokens, percent).view(np.int64)
-                held.append((keys, np.full(len(keys), name[1])))
-                size += len(keys)
+                held.append(part_keys(tokens, percent).view(np.int64))
+                names.append(name[1])
+                size += len(held[-1])
                 if size >= COMBINE:
-                    yield batch(kind, flush())
-                    held, size = [], 0
-                    seen.clear()
+                    yield flush()
+                    size = 0
         if held:
-            yield batch(kind, flush())
-        yield batch(kind, [(k % buckets, 1, n, blob) for k, (n, blob) in enumerate(ties.rows())])
+            yield flush()
+        yield batch(DEALT_KEYS, [(k % buckets, 1, n, blob) for k, (n, blob) in enumerate(ties.rows())])
 
     def meet(batches):
         now, held, ties = None, [], Edges()
@@ -219,8 +232,8 @@ def shared_keys(docs: DataFrame, width: int, percent: int, buckets: int) -> Data
             yield solve()
         yield batch(PAIRS, [(1, n, blob) for n, blob in ties.rows()])
 
-    packed = docs.select("text").mapInArrow(deal, "bucket int, kind int, n long, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, PAIRS)
+    packed = mapped(docs.select("text"), deal, DEALT_KEYS)
+    return mapped(packed.repartition("bucket").sortWithinPartitions("bucket"), meet, PAIRS)
 
 
 class Forest:
@@ -394,7 +407,7 @@ def linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
             yield batch(kind, solve(pa.Table.from_batches(held)))
 
     dealt = rows.select("task", "side", "doc_id", "cls", "text").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, kind)
+    return mapped(dealt, run, kind)
 
 
 def may_link(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -502,7 +515,7 @@ def refined(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         edges.add(names[node], names[root])
         return edges.rows()
 
-    asked = shared.where("kind = 0").select("n", "blob").mapInArrow(split, MEET)
+    asked = mapped(shared.where("kind = 0").select("n", "blob"), split, MEET)
     known = classes.select(F.pmod("h1", F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"), F.col("h1").alias("c"), "n", "bits", F.lit(None).cast("binary").alias("blob"))
     return by_bucket(by_bucket(asked.union(known), buckets, attach, MEET), buckets, solve, BLOCKS)
 

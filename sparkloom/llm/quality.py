@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_table, mix64, text_bytes, unused
+from .common import blocks, byte_table, mapped, mix64, text_bytes, unused
 
 #: Classes of bytes: 0 blank, 1 lower-case and bytes over 127, 2 upper-case, 3 digit, 4 and more: each mark a class of its own.
 CLASS = np.arange(256) + 4
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[st
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType()))
+    return mapped(rest, run, StructType([*rest.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType()))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
